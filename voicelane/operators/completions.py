@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voicelane import fixed_values as V
 from voicelane.functions import labels as L
+from voicelane.functions.matching import bound
 from voicelane.functions.text import strip, strip_fence
 from voicelane.schema import LABELLED
 
@@ -19,37 +20,42 @@ def parse_label_reply(text: Column) -> Column:
     Rejected: text that is no JSON object, a missing key, categories that cannot be iterated (null,
     number, boolean). An unknown sentiment and unknown categories are repaired.
     """
-    reply = F.try_parse_json(strip_fence(text))
-    kind = F.schema_of_variant(reply)
+    return bound(F.try_parse_json(strip_fence(text)), _label_of)
+
+
+def _label_of(reply: Column) -> Column:
     keys = F.try_variant_get(reply, "$", "map<string,variant>")
-    complete = (
-        F.startswith(kind, F.lit("OBJECT"))
-        & F.map_contains_key(keys, "review_body")
-        & F.map_contains_key(keys, "sentiment")
-        & F.map_contains_key(keys, "categories")
+    complete = F.startswith(F.schema_of_variant(reply), F.lit("OBJECT")) & bound(
+        F.map_keys(keys),
+        lambda found: F.array_contains(found, "review_body")
+        & F.array_contains(found, "sentiment")
+        & F.array_contains(found, "categories"),
     )
-    found = F.try_variant_get(reply, "$.categories", "variant")
-    found_kind = F.schema_of_variant(found)
+    kind = F.schema_of_variant(F.try_variant_get(reply, "$.categories", "variant"))
     # Text is iterable too but holds no category name; an object is iterated by its keys.
-    names = (
-        F.when(
-            F.startswith(found_kind, F.lit("ARRAY")),
+    names = bound(
+        kind,
+        lambda k: F.when(
+            F.startswith(k, F.lit("ARRAY")),
             F.try_variant_get(reply, "$.categories", "array<string>"),
         )
         .when(
-            F.startswith(found_kind, F.lit("OBJECT")),
+            F.startswith(k, F.lit("OBJECT")),
             F.map_keys(F.try_variant_get(reply, "$.categories", "map<string,variant>")),
         )
-        .when(found_kind == "STRING", F.array().cast("array<string>"))
+        .when(k == "STRING", F.array().cast("array<string>")),
     )
     body = F.try_variant_get(reply, "$.review_body", "string")
     sentiment = F.try_variant_get(reply, "$.sentiment", "string")
-    return F.when(
-        F.coalesce(complete & names.isNotNull(), F.lit(False)),
-        F.struct(
-            body.alias("review_body"),
-            L.repair_sentiment(sentiment).alias("sentiment"),
-            L.repair_categories(names).alias("categories"),
+    return bound(
+        F.when(F.coalesce(complete, F.lit(False)), names),
+        lambda found: F.when(
+            found.isNotNull(),
+            F.struct(
+                body.alias("review_body"),
+                L.repair_sentiment(sentiment).alias("sentiment"),
+                L.repair_categories(found).alias("categories"),
+            ),
         ),
     ).cast(_LABELLED_DDL)
 

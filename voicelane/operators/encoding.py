@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,16 +16,25 @@ VOCABULARY_SIZE = 32_000
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: t != "")
+    return F.filter(_pieces(text), lambda t: t != "")
+
+
+def _pieces(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def vocabulary(
     corpus: DataFrame, columns: Sequence[str], size: int = VOCABULARY_SIZE
 ) -> DataFrame:
     """The ``size`` most frequent tokens with ids after the reserved ones, ties by token."""
-    each = [corpus.select(F.explode(tokens(F.col(c))).alias("token")) for c in columns]
-    counted = reduce(DataFrame.unionAll, each).groupBy("token").agg(F.count("*").alias("n"))
+    texts = F.array(*[F.col(c) for c in columns])
+    counted = (
+        corpus.select(F.explode(texts).alias("text"))
+        .select(F.explode(_pieces(F.col("text"))).alias("token"))
+        .filter(F.col("token") != "")
+        .groupBy("token")
+        .agg(F.count("*").alias("n"))
+    )
     order = (F.desc("n"), F.asc("token"))
     # Top-k per task, merged; the window then sees at most ``size`` rows.
     kept = counted.orderBy(*order).limit(size)

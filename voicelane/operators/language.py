@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voicelane.functions.matching import bound
+
 DEFAULT_LANGUAGE = "en"
 GRAMS_PER_LANGUAGE = 1000
 MAX_LANGUAGES = 200
@@ -32,17 +34,19 @@ def letters_only(text: Column) -> Column:
 
 def _grams(word: Column) -> Column:
     """1-, 2- and 3-grams of a word with a blank on both sides, without the blank itself."""
-    chars = F.split(F.concat(F.lit(" "), word, F.lit(" ")), "")
-    ones = F.split(word, "")
-    twos = F.transform(
-        F.sequence(F.lit(0), F.size(chars) - 2),
-        lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1)),
-    )
-    threes = F.transform(
-        F.sequence(F.lit(0), F.size(chars) - 3),
-        lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)),
-    )
-    return F.concat(ones, twos, threes)
+
+    def runs(chars: Column) -> Column:
+        twos = F.transform(
+            F.sequence(F.lit(0), F.size(chars) - 2),
+            lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1)),
+        )
+        threes = F.transform(
+            F.sequence(F.lit(0), F.size(chars) - 3),
+            lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)),
+        )
+        return F.concat(F.slice(chars, 2, F.size(chars) - 2), twos, threes)
+
+    return bound(F.split(F.concat(F.lit(" "), word, F.lit(" ")), ""), runs)
 
 
 def language_profile(

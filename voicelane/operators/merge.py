@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voicelane import fixed_values as V
@@ -77,24 +77,27 @@ def resume(candidates: DataFrame, labelled: DataFrame, text: str = "review") ->
 def label_run_stats(
     candidates: DataFrame, labelled: DataFrame, text: str = "review"
 ) -> DataFrame:
-    """Totals of a labelling run: reviews, spam, keys done, reviews remaining."""
-    spam = L.is_spam(F.col(text))
-    clean = candidates.filter(~spam)
-    # Count copies of a key first: only (key, count) pairs are joined.
-    per_key = clean.groupBy(prefix(F.col(text), V.RESUME_KEY_CHARS).alias("done_key")).agg(
-        F.count("*").alias("n")
-    )
-    remaining = per_key.join(done_keys(labelled), "done_key", "left_anti").agg(
-        F.coalesce(F.sum("n"), F.lit(0))
-    )
-    return candidates.agg(
-        F.count("*").alias("total"), F.count_if(spam).alias("spam")
-    ).select(
-        "total",
-        "spam",
-        done_keys(labelled).agg(F.count("*")).scalar().alias("done"),
-        remaining.scalar().alias("remaining"),
+    """Totals of a labelling run: reviews, spam, keys done, reviews remaining.
+
+    One pass over the candidates: they are counted per key before anything is joined, so copies of
+    a review meet as one counter each.
+    """
+    done = done_keys(labelled)
+    spam = F.coalesce(L.is_spam(F.col(text)), F.lit(False))
+    per_key = candidates.groupBy(prefix(F.col(text), V.RESUME_KEY_CHARS).alias("done_key")).agg(
+        F.count("*").alias("n"), F.count_if(spam).alias("n_spam")
     )
+    flagged = per_key.join(done.withColumn("_done", F.lit(True)), "done_key", "left")
+    open_rows = F.when(F.col("_done").isNull(), F.col("n") - F.col("n_spam")).otherwise(0)
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    return flagged.agg(
+        total(F.col("n")).alias("total"),
+        total(F.col("n_spam")).alias("spam"),
+        total(open_rows).alias("remaining"),
+    ).select("total", "spam", done.agg(F.count("*")).scalar().alias("done"), "remaining")
 
 
 def phrase_lookup(rows: DataFrame, phrases: DataFrame, category: str = "category") -> DataFrame:

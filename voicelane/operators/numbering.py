@@ -15,7 +15,7 @@ def number_rows(
     order: str,
     within: Sequence[str] = (),
     name: str = "row_number",
-    bits: int = 20,
+    bits: int = 16,
 ) -> DataFrame:
     """Consecutive numbers (from 1) by a unique bigint ``order``, per ``within`` group.
 
@@ -84,10 +84,11 @@ def chunk_ids(
 
 
 def quota_limit(
-    candidates: DataFrame, existing: DataFrame, order: str, total: int = V.DATASET_TOTAL
+    candidates: DataFrame, existing: DataFrame, order: str, total: int | Column = V.DATASET_TOTAL
 ) -> DataFrame:
     """The first ``max(total - existing, 0)`` candidates by ``order``."""
-    remaining = F.greatest(F.lit(total) - existing.agg(F.count("*")).scalar(), F.lit(0))
+    target = total if isinstance(total, Column) else F.lit(total)
+    remaining = F.greatest(target - existing.agg(F.count("*")).scalar(), F.lit(0))
     return (
         number_rows(candidates, order, name="_place")
         .filter(F.col("_place") <= remaining)

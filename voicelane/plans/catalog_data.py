@@ -164,22 +164,24 @@ def chunk_ids(spark, folder):
     )
 
 
-_QUOTA = 600
-
-
 @query(
     "quota_limit",
     Q.with_reviews(
         "SELECT database_id FROM (SELECT database_id, row_number() OVER (ORDER BY ordinal) AS n "
-        f"FROM reviews_v WHERE sentiment IS NULL) WHERE n <= greatest({_QUOTA} - "
-        "(SELECT count(*) FROM labels), 0)"
+        "FROM reviews_v WHERE sentiment IS NULL) WHERE n <= greatest("
+        "(SELECT count(*) * 3 // 5 FROM documents) - (SELECT count(*) FROM labels), 0)"
     ),
 )
 def quota_limit(spark, folder):
-    """Unscored reviews to add until the target total is reached, given those that have a label."""
+    """Unscored reviews to add until three fifths of all documents are labelled."""
+    documents = table(spark, folder, "documents")
+    target = documents.agg(F.floor(F.count("*") * 3 / 5)).scalar()
     candidates = reviews(spark, folder).filter(F.col("sentiment").isNull())
     return numbering.quota_limit(
-        candidates.select("database_id", "ordinal"), table(spark, folder, "labels"), "ordinal", _QUOTA
+        candidates.select("database_id", "ordinal"),
+        table(spark, folder, "labels"),
+        "ordinal",
+        target,
     ).select("database_id")
 
 

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Recording the call site of every column expression doubles the time to build a large plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.files.maxPartitionBytes": str(128 << 20),
 }
 
