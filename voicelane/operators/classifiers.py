@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -18,6 +19,7 @@ from voicelane.operators.numbering import split_hash
 FEATURES = 1 << 13
 ITERATIONS = 10
 REGULARISATION = 0.01
+FITS_AT_ONCE = 3
 
 
 @dataclass
@@ -97,10 +99,13 @@ def _text_pipeline() -> Pipeline:
 
 def _fit(featured: DataFrame, features: PipelineModel) -> ReviewModels:
     train = featured.filter(F.col("split") == "train")
-    categories = {
-        c: _logistic("binomial", f"y_{i}").fit(train) for i, c in enumerate(V.CATEGORIES)
-    }
-    return ReviewModels(features, categories, _logistic("multinomial", "y_sentiment").fit(train))
+    tasks = [("binomial", f"y_{i}") for i in range(len(V.CATEGORIES))]
+    # The fits are independent and each leaves cores idle between its iterations.
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        fitted = list(
+            pool.map(lambda t: _logistic(*t).fit(train), [*tasks, ("multinomial", "y_sentiment")])
+        )
+    return ReviewModels(features, dict(zip(V.CATEGORIES, fitted, strict=False)), fitted[-1])
 
 
 def train(labelled: DataFrame) -> ReviewModels:
