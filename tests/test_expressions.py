@@ -103,7 +103,7 @@ def test_join_with_and(one):
 def test_pick_template_known_values(one):
     row = one(
         X.pick_template(2, F.lit("this rental location"), F.lit(0)),
-        X.pick_template(2, F.lit("Rentalcars"), F.lit(3)),
+        X.pick_template(2, F.lit("Harbour Wheels"), F.lit(3)),
     )
     assert list(row) == [1, 0]
 

@@ -45,14 +45,14 @@ WORKED_RATINGS = [
     (None, None, None, 8.0),
 ]
 WORKED_TEXT = (
-    "The majority of reviews for Circular Car Hire at Izmir are positive (40%), especially around "
-    "the pickup process and return process. A number of reviewers flagged concerns around "
+    "The majority of reviews for Harbour Wheels at Luz are positive (40%), especially around "
+    "the pickup process and return process. Some customers also had issues with "
     "unexpected charges and staff and communication."
 )
 
 
 def test_worked_example(spark):
-    rows = reviews(spark, WORKED, ("Sunny Cars", "Izmir", "Circular Car Hire"), WORKED_RATINGS)
+    rows = reviews(spark, WORKED, ("Broker", "Luz", "Harbour Wheels"), WORKED_RATINGS)
     row = A.scope_summary(rows).first()
     assert row["total_reviews"] == 5
     assert tuple(row["sentiment_distribution"]) == (2, 2, 1, 40, 40, 20)

@@ -24,52 +24,60 @@ def number_rows(
     before it. Those counts are summed level by level (ranges of ranges), so no window ever sees
     more than ``2**bits`` rows, however large one group is.
     """
-    # One text key that is never null, so that equal joins keep groups whose key is null.
-    group = F.to_json(F.struct(*within)) if within else F.lit("")
-    levels = list(range(bits, 64, bits))
-    tagged = rows.select("*", group.alias("_group"), F.shiftright(order, bits).alias("_range"))
-
+    levels = len(range(bits, 64, bits))
+    tagged = rows.select(
+        "*", _group_key(within).alias("_group"), F.shiftright(order, bits).alias("_range")
+    )
+    # Per level, from rows upwards: how many rows lie before a range inside the next wider range.
     counts = tagged.groupBy("_group", "_range").agg(F.count("*").alias("_rows"))
-    # Level by level: the rows before a range inside the next wider range.
-    wider = counts
     before: list[DataFrame] = []
-    for depth, shift in enumerate(levels):
-        last = depth == len(levels) - 1
-        parent = F.lit(0).cast("bigint") if last else F.shiftright("_range", bits)
-        wider = wider.withColumn("_parent", parent)
-        so_far = (
+    for level in range(levels):
+        top = level == levels - 1
+        parent = F.lit(0).cast("bigint") if top else F.shiftright("_range", bits)
+        counts = counts.withColumn("_parent", parent)
+        earlier = (
             Window.partitionBy("_group", "_parent")
             .orderBy("_range")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        before.append(
-            wider.select(
-                "_group",
-                F.col("_range").alias(f"_level_{depth}"),
-                F.coalesce(F.sum("_rows").over(so_far), F.lit(0)).alias(f"_before_{depth}"),
-            )
+        shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+        before.append(counts.select("_group", "_parent", "_range", shift.alias("_shift")))
+        counts = counts.groupBy("_group", F.col("_parent").alias("_range")).agg(
+            F.sum("_rows").alias("_rows")
         )
-        wider = (
-            wider.groupBy("_group", F.col("_parent").alias("_range"))
-            .agg(F.sum("_rows").alias("_rows"))
+    # From the widest ranges downwards, each level adds the shift of the range around it. A range
+    # meets at most ``2**bits`` narrower ones in these joins, too.
+    shifts = before[-1].drop("_parent")
+    for narrower in reversed(before[:-1]):
+        outer = shifts.select(
+            "_group", F.col("_range").alias("_parent"), F.col("_shift").alias("_outer")
+        )
+        # Every row finds its match; a left join only keeps the optimizer from deriving null filters
+        # that differ from branch to branch and would stop the counts from being computed once.
+        shifts = narrower.join(outer, ["_group", "_parent"], "left").select(
+            "_group", "_range", (F.col("_shift") + F.col("_outer")).alias("_shift")
         )
-    offsets = before[0]
-    for depth in range(1, len(levels)):
-        offsets = offsets.withColumn(
-            f"_level_{depth}", F.shiftright("_level_0", bits * depth)
-        ).join(before[depth], ["_group", f"_level_{depth}"])
-    shift_by = sum((F.col(f"_before_{d}") for d in range(1, len(levels))), F.col("_before_0"))
-    offsets = offsets.select("_group", F.col("_level_0").alias("_range"), shift_by.alias("_shift"))
-
     inside = F.row_number().over(Window.partitionBy("_group", "_range").orderBy(order))
     return (
         tagged.withColumn("_inside", inside)
-        .join(offsets, ["_group", "_range"])
+        .join(shifts, ["_group", "_range"], "left")
         .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("bigint"))
         .drop("_group", "_range", "_inside", "_shift")
     )
 
 
+def _group_key(columns: Sequence[str]) -> Column:
+    """One text per group, never null, so that groups with a null key take part in equal joins.
+
+    Values carry their length, which keeps ('a,b', null) and ('a', 'b') apart.
+    """
+    texts = [F.col(c).cast("string") for c in columns]
+    sized = [
+        F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts
+    ]
+    return F.concat_ws(",", F.lit(""), *sized)
+
+
 def chunk_ids(
     rows: DataFrame, order: str, within: Sequence[str] = (), size: int = V.CHUNK_SIZE
 ) -> DataFrame:
