@@ -103,6 +103,23 @@ def test_language_in_small_slices_gives_the_same(spark, monkeypatch):
     assert sorted(map(tuple, sliced.collect())) == expected
 
 
+def test_language_by_search_gives_the_same_as_by_table(spark, monkeypatch):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profile = language.language_profile(documents)
+    by_table = documents.select("doc_id", language.detector(profile)(F.col("text")).alias("l"))
+    expected = sorted(map(tuple, by_table.collect()))
+    monkeypatch.setattr(language, "DENSE_IDS", 1)
+    by_search = documents.select("doc_id", language.detector(profile)(F.col("text")).alias("l"))
+    assert sorted(map(tuple, by_search.collect())) == expected
+
+
+def test_first_tokens_equal_a_slice_of_all(one):
+    text = F.lit(" !a b, c d")
+    for n in range(1, 7):
+        row = one(encoding.first_tokens(text, n), F.slice(encoding.tokens(text), 1, n))
+        assert row[0] == row[1]
+
+
 def test_vocabulary_order_and_encoding(spark):
     examples = spark.createDataFrame(
         [(1, "b a b", "yes"), (2, "b C!", "no " * 200), (3, "", "")],

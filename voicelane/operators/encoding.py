@@ -19,8 +19,14 @@ def tokens(text: Column) -> Column:
     return F.filter(_pieces(text), lambda t: t != "")
 
 
-def _pieces(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+def first_tokens(text: Column, n: int) -> Column:
+    """The first ``n`` tokens. Splitting stops there: of ``n + 2`` pieces the last is the rest of the
+    text, and only the very first can be empty."""
+    return F.slice(F.filter(_pieces(text, n + 2), lambda t: t != ""), 1, n)
+
+
+def _pieces(text: Column, limit: int = -1) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", limit)
 
 
 def vocabulary(
@@ -75,7 +81,7 @@ def encode(
     end = F.lit(V.END_ID)
 
     def sequence(text: str, limit: int) -> Column:
-        return F.array_append(ids_of(F.slice(tokens(F.col(text)), 1, limit - 1)), end)
+        return F.array_append(ids_of(first_tokens(F.col(text), limit - 1)), end)
 
     kept = [c for c in examples.columns if c not in ("input", "output")]
     return examples.select(

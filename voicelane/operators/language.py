@@ -7,7 +7,8 @@ Arrow function that looks grams up in sorted arrays, with no shuffle and no per-
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ MAX_LANGUAGES = 200
 SCALE = 1000
 # Characters handled at once inside a task, which bounds its memory for batches of long texts.
 SLICE_CHARS = 2_000_000
-_BITS = 21  # a code point fits in 21 bits, three of them in a 64-bit key
+# Largest table of gram numbers kept as a plain array (64 MiB); beyond it grams are searched for.
+DENSE_IDS = 1 << 24
 
 
 def letters_only(text: Column) -> Column:
@@ -91,8 +93,65 @@ def language_profile(
     )
 
 
-def _key(codes: np.ndarray) -> int:
-    return sum(int(c) << (_BITS * i) for i, c in enumerate(codes))
+def _lookup(ids: np.ndarray, rows: np.ndarray, size: int, missing: int):
+    """Gram ids to profile rows (``missing`` where unknown): by table if it fits, else by search."""
+    if size <= DENSE_IDS:
+        table = np.full(size, missing, dtype=np.int32)
+        table[ids] = rows
+        return lambda wanted: table[wanted]
+    order = np.argsort(ids)
+    ids, rows = ids[order], rows[order]
+
+    def search(wanted: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+        return np.where(ids[at] == wanted, rows[at], missing)
+
+    return search
+
+
+class _Profile:
+    """Arrays for scoring: letters are numbered, a gram is a number with letters as its digits."""
+
+    def __init__(self, grams: list[str], weights: np.ndarray) -> None:
+        letters = sorted({c for g in grams for c in g})
+        self.base = len(letters) + 1  # digit 0 is any other character
+        self.digit = np.zeros(sys.maxunicode + 1, dtype=np.int64)
+        self.digit[[ord(c) for c in letters]] = np.arange(1, self.base)
+        self.weights = weights
+        self.lookups = []
+        for size in (1, 2, 3):
+            rows = np.array([r for r, g in enumerate(grams) if len(g) == size], dtype=np.int32)
+            codes = np.array([[ord(c) for c in grams[r]] for r in rows]).reshape(-1, size)
+            self.lookups.append(
+                _lookup(self._ids(self.digit[codes].T), rows, self.base**size, len(grams))
+                if len(rows)
+                else None
+            )
+
+    def _ids(self, digits) -> np.ndarray:
+        ids = digits[0]
+        for following in digits[1:]:
+            ids = ids * self.base + following
+        return ids
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: the sums per language, and how many grams were known."""
+        n, known_rows = len(texts), len(self.weights)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        digits = self.digit[codes]
+        doc = np.repeat(np.arange(n), [len(t) for t in texts])
+        sums, known = np.zeros((n, self.weights.shape[1])), np.zeros(n)
+        for size, find in enumerate(self.lookups, start=1):
+            count = len(digits) - size + 1
+            if find is None or count <= 0:
+                continue
+            rows = find(self._ids([digits[i : i + count] for i in range(size)]))
+            hit = np.flatnonzero(rows < known_rows)
+            of, rows = doc[hit], rows[hit]
+            known += np.bincount(of, minlength=n)
+            for i in range(sums.shape[1]):
+                sums[:, i] += np.bincount(of, weights=self.weights[rows, i], minlength=n)
+        return sums, known
 
 
 def detector(
@@ -105,60 +164,47 @@ def detector(
     Every gram of the text that some profile knows adds its weight to each language (a language
     that does not know it adds its floor); the largest sum wins, ties go to the first code.
     """
-    bound = grams * MAX_LANGUAGES
-    rows = profile.select("lang", "gram", "weight", "floor_weight").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"profile has more than {bound} rows")
+    bound_rows = grams * MAX_LANGUAGES
+    rows = profile.select("lang", "gram", "weight", "floor_weight").limit(bound_rows + 1).collect()
+    if len(rows) > bound_rows:
+        raise ValueError(f"profile has more than {bound_rows} rows")
     langs = sorted({r["lang"] for r in rows})
-    position = {lang: i for i, lang in enumerate(langs)}
-    floors = np.zeros(len(langs))
-    table: dict[int, np.ndarray] = {}
-    for r in rows:
-        floors[position[r["lang"]]] = r["floor_weight"]
+    names = sorted({r["gram"] for r in rows})
+    place = {name: i for i, name in enumerate(names)}
+    floors = {r["lang"]: r["floor_weight"] for r in rows}
+    weights = np.tile([float(floors[lang]) for lang in langs], (len(names), 1))
     for r in rows:
-        key = _key(np.array([ord(c) for c in r["gram"]]))
-        table.setdefault(key, floors.copy())[position[r["lang"]]] = r["weight"]
-    keys = np.array(sorted(table), dtype=np.int64)
-    weights = np.array([table[k] for k in keys]) if len(keys) else np.zeros((0, len(langs)))
-
-    def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: the sums per language, and how many grams were known."""
-        n = len(texts)
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        doc = np.repeat(np.arange(n), [len(t) for t in texts])
-        sums, known = np.zeros((n, len(langs))), np.zeros(n)
-        for size in (1, 2, 3):
-            found = codes[: len(codes) - size + 1].copy()
-            for i in range(1, size):
-                found |= codes[i : len(codes) - size + 1 + i] << (_BITS * i)
-            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            hit = keys[at] == found
-            of, row = doc[: len(found)][hit], at[hit]
-            known += np.bincount(of, minlength=n)
-            for i in range(len(langs)):
-                sums[:, i] += np.bincount(of, weights=weights[row, i], minlength=n)
-        return sums, known
-
-    def detect(texts: pa.Array) -> pa.Array:
-        out: list[str] = []
-        values = texts.to_pylist()
-        lengths = np.cumsum([len(v) for v in values]) if values else np.array([])
-        start = 0
-        while start < len(values):
-            base = lengths[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(lengths, base + SLICE_CHARS, "right")))
-            if len(keys):
-                sums, known = scores(values[start:stop])
-                best = np.argmax(sums, axis=1)
-                out.extend(
-                    langs[b] if k else default for b, k in zip(best, known, strict=True)
-                )
-            else:
-                out.extend([default] * (stop - start))
-            start = stop
-        return pa.array(out, pa.string())
+        weights[place[r["gram"]], langs.index(r["lang"])] = r["weight"]
+
+    def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = _Profile(names, weights) if names else None
+        for batch in batches:
+            values = batch.to_pylist()
+            out: list[str] = []
+            for part in _slices(values):
+                if model is None:
+                    out += [default] * len(part)
+                    continue
+                sums, known = model.scores(part)
+                out += [
+                    langs[b] if k else default
+                    for b, k in zip(np.argmax(sums, axis=1), known, strict=True)
+                ]
+            yield pa.array(out, pa.string())
 
     ask = F.arrow_udf(detect, "string")
     return lambda text: ask(letters_only(text))
 
 
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive parts of about ``SLICE_CHARS`` characters, at least one text each."""
+    part: list[str] = []
+    chars = 0
+    for text in texts:
+        if part and chars + len(text) > SLICE_CHARS:
+            yield part
+            part, chars = [], 0
+        part.append(text)
+        chars += len(text)
+    if part:
+        yield part
