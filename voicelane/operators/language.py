@@ -22,9 +22,10 @@ GRAMS_PER_LANGUAGE = 1000
 MAX_LANGUAGES = 200
 # Weights are whole thousandths of a natural logarithm: sums are exact in any order.
 SCALE = 1000
-# Characters handled at once inside a task, which bounds its memory for batches of long texts.
-SLICE_CHARS = 2_000_000
-# Largest table of gram numbers kept as a plain array (64 MiB); beyond it grams are searched for.
+# Characters handled at once inside a task: its arrays then stay in the CPU caches, and a batch of
+# long texts needs little memory.
+SLICE_CHARS = 200_000
+# Largest table of gram numbers kept as a plain array (128 MiB); beyond it grams are searched for.
 DENSE_IDS = 1 << 24
 
 
@@ -96,7 +97,7 @@ def language_profile(
 def _lookup(ids: np.ndarray, rows: np.ndarray, size: int, missing: int):
     """Gram ids to profile rows (``missing`` where unknown): by table if it fits, else by search."""
     if size <= DENSE_IDS:
-        table = np.full(size, missing, dtype=np.int32)
+        table = np.full(size, missing, dtype=np.intp)
         table[ids] = rows
         return lambda wanted: table[wanted]
     order = np.argsort(ids)
@@ -117,10 +118,13 @@ class _Profile:
         self.base = len(letters) + 1  # digit 0 is any other character
         self.digit = np.zeros(sys.maxunicode + 1, dtype=np.int64)
         self.digit[[ord(c) for c in letters]] = np.arange(1, self.base)
-        self.weights = weights
+        # One column more counts known grams; one row more stands for unknown ones.
+        counted = np.column_stack([weights, np.ones(len(grams), dtype=np.int64)])
+        padded = np.vstack([counted, np.zeros(counted.shape[1], dtype=np.int64)])
+        self.columns = [np.ascontiguousarray(column) for column in padded.T]
         self.lookups = []
         for size in (1, 2, 3):
-            rows = np.array([r for r, g in enumerate(grams) if len(g) == size], dtype=np.int32)
+            rows = np.array([r for r, g in enumerate(grams) if len(g) == size], dtype=np.intp)
             codes = np.array([[ord(c) for c in grams[r]] for r in rows]).reshape(-1, size)
             self.lookups.append(
                 _lookup(self._ids(self.digit[codes].T), rows, self.base**size, len(grams))
@@ -135,23 +139,19 @@ class _Profile:
         return ids
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: the sums per language, and how many grams were known."""
-        n, known_rows = len(texts), len(self.weights)
+        """Per text: the sums per language, and how many grams were known. No text is empty."""
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-        digits = self.digit[codes]
-        doc = np.repeat(np.arange(n), [len(t) for t in texts])
-        sums, known = np.zeros((n, self.weights.shape[1])), np.zeros(n)
+        # Two unknown characters at the end let every position start a gram of each size.
+        digits = np.concatenate([self.digit[codes], [0, 0]])
+        ends = np.cumsum([len(t) for t in texts])
+        starts = ends - [len(t) for t in texts]
+        total = np.zeros((len(texts), len(self.columns)), dtype=np.int64)
         for size, find in enumerate(self.lookups, start=1):
-            count = len(digits) - size + 1
-            if find is None or count <= 0:
-                continue
-            rows = find(self._ids([digits[i : i + count] for i in range(size)]))
-            hit = np.flatnonzero(rows < known_rows)
-            of, rows = doc[hit], rows[hit]
-            known += np.bincount(of, minlength=n)
-            for i in range(sums.shape[1]):
-                sums[:, i] += np.bincount(of, weights=self.weights[rows, i], minlength=n)
-        return sums, known
+            if find is not None:
+                rows = find(self._ids([digits[i : i + len(codes)] for i in range(size)]))
+                for column, values in enumerate(self.columns):
+                    total[:, column] += np.add.reduceat(values[rows], starts)
+        return total[:, :-1], total[:, -1]
 
 
 def detector(
@@ -172,7 +172,7 @@ def detector(
     names = sorted({r["gram"] for r in rows})
     place = {name: i for i, name in enumerate(names)}
     floors = {r["lang"]: r["floor_weight"] for r in rows}
-    weights = np.tile([float(floors[lang]) for lang in langs], (len(names), 1))
+    weights = np.tile(np.array([floors[lang] for lang in langs], dtype=np.int64), (len(names), 1))
     for r in rows:
         weights[place[r["gram"]], langs.index(r["lang"])] = r["weight"]
 
