@@ -10,6 +10,42 @@ from voicelane.functions import labels as L
 from voicelane.functions.text import prefix
 
 
+# A key is hot if it holds more than one in this many rows, so there are always fewer hot keys.
+HOT_ONE_IN = 2_000
+_SPREAD = 10_007  # parts a hot key is spread over
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that hold more than one in ``HOT_ONE_IN`` rows: fewer than that many, whatever the data.
+
+    Counting combines on the map side, so a hot key is one counter per task.
+    """
+    total = rows.agg(F.count("*")).scalar()
+    return (
+        rows.groupBy(key)
+        .agg(F.count("*").alias("_n"))
+        .filter((F.col("_n") * HOT_ONE_IN > total) & F.col(key).isNotNull())
+        .select(key)
+    )
+
+
+def _spread_hot(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Adds ``_part``: 0 for ordinary keys, some other number for rows of a hot key.
+
+    Joined on (key, _part) with a side that only has part 0, rows of hot keys match nothing and go
+    to many tasks. They have to be answered before, from the few hot keys of the other side.
+    """
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(_SPREAD)) + 1
+    flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    return flagged.withColumn("_part", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
+
+
+def _part_zero(rows: DataFrame, key: str) -> DataFrame:
+    """Part 0 for all rows, computed from the key: a plain literal would be taken out of the join
+    keys by the optimizer."""
+    return rows.withColumn("_part", F.pmod(F.hash(key), F.lit(1)).cast("bigint"))
+
+
 def latest_per_key(updates: DataFrame, key: str, version: str) -> DataFrame:
     """The newest row of each key (map-side combined, so a hot key costs one row per task)."""
     others = [c for c in updates.columns if c not in (key, version)]
@@ -32,11 +68,22 @@ def merge_enrichment(
     fresh = latest_per_key(updates, key, version)
     new = [c for c in fresh.columns if c != key]
     renamed = fresh.select(key, *[F.col(c).alias(f"_new_{c}") for c in new])
-    keyed = stored.filter(F.col(key).isNotNull()).join(renamed, key, "left")
+    keyed = stored.filter(F.col(key).isNotNull())
+    # The few hot keys are merged by broadcast, all others by a shuffle that no key can overload.
+    hot = hot_keys(keyed, key)
+    few = renamed.join(F.broadcast(hot), key, "left_semi").select(
+        key, *[F.col(f"_new_{c}").alias(f"_hot_{c}") for c in new]
+    )
+    keyed = (
+        _spread_hot(keyed.join(F.broadcast(few), key, "left"), key, hot)
+        .join(_part_zero(renamed, key), [key, "_part"], "left")
+        .drop("_part")
+    )
     types = dict(fresh.dtypes)
 
     def value(c: str):
-        return F.coalesce(f"_new_{c}", c) if c in stored.columns else F.col(f"_new_{c}")
+        old = [c] if c in stored.columns else []
+        return F.coalesce(f"_new_{c}", f"_hot_{c}", *old)
 
     kept = [c for c in stored.columns if c not in new]
     merged = keyed.select(*kept, *[value(c).alias(c) for c in new])
@@ -62,15 +109,21 @@ def done_keys(labelled: DataFrame, text: str = "review_body") -> DataFrame:
 def resume(candidates: DataFrame, labelled: DataFrame, text: str = "review") -> DataFrame:
     """Candidates that are no spam and whose prefix is not labelled yet.
 
-    Copies inside the candidates all stay. The done side holds each key once, so a prefix shared by
-    very many candidates only makes one large probe side, which skew-join handling splits.
+    Copies inside the candidates all stay. The few prefixes that very many candidates share are
+    looked up by broadcast, and their rows are spread over many tasks in the join of the others.
     """
     key = prefix(F.col(text), V.RESUME_KEY_CHARS)
+    keyed = candidates.withColumn("done_key", key)
+    done = done_keys(labelled)
+    hot = hot_keys(keyed.select("done_key"), "done_key")
+    hot_done = done.join(F.broadcast(hot), "done_key", "left_semi")
+    clean = keyed.filter(~L.is_spam(F.col(text))).join(
+        F.broadcast(hot_done), "done_key", "left_anti"
+    )
     return (
-        candidates.filter(~L.is_spam(F.col(text)))
-        .withColumn("done_key", key)
-        .join(done_keys(labelled), "done_key", "left_anti")
-        .drop("done_key")
+        _spread_hot(clean, "done_key", hot)
+        .join(_part_zero(done, "done_key"), ["done_key", "_part"], "left_anti")
+        .drop("done_key", "_part")
     )
 
 
