@@ -11,15 +11,17 @@ import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voicelane.session import shared_folder
 
-#: Rows of text handled at once inside a task.
-SLICE = 1_000
+#: Rows, and bytes of text, handled at once inside a task (at least one row).
+SLICE, SLICE_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,7 +74,7 @@ def extended(
 
     ``rows`` gets a list of values for each of ``inputs`` and returns a list of values for each field
     of the schema ``outputs``. Other columns pass through untouched; those that have the name of an
-    output are replaced. At most ``SLICE`` rows are in Python at once, whatever the batch size.
+    output are replaced. Few rows are in Python at once, whatever the batch size.
     """
     added = T.StructType.fromDDL(outputs)
     kept = without(frame, added.names)
@@ -82,13 +84,12 @@ def extended(
         *[value.alias(n) for n, value in zip(names, inputs.values(), strict=True)],
     )
     schema = T.StructType(kept.schema.fields + added.fields)
-    width, size = len(kept.columns), SLICE
+    width = len(kept.columns)
     arrow = _arrow_types(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, size):
-                part = batch.slice(start, size)
+            for part in parts(batch, range(width, batch.num_columns)):
                 columns = part.columns
                 made = rows(*[c.to_pylist() for c in columns[width:]])
                 new = [pa.array(v, type=t) for v, t in zip(made, arrow, strict=True)]
@@ -97,6 +98,21 @@ def extended(
     return fed.mapInArrow(run, schema)
 
 
+def parts(batch: pa.RecordBatch, texts: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that are small by rows and by the bytes of the given columns."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for i in texts:
+        column = batch.column(i)
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    until, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        full = int(np.searchsorted(until, until[start] - size[start] + SLICE_BYTES, side="right"))
+        stop = min(max(full, start + 1), start + SLICE, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -57,11 +57,13 @@ def digested(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal neighbours of sorted entries made one: the first stays, copies add up."""
-    held = None
+    held, names = None, ENTRY.replace(",", "").split()[::2]
+    plain = pa.schema([(n, pa.binary() if n in ("digest", "other") else pa.int64()) for n in names])
     for batch in batches:
         if not batch.num_rows:
             continue
-        whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        own = pa.RecordBatch.from_arrays(batch.columns, schema=plain)
+        whole = pa.Table.from_batches([own] if held is None else [held, own]).combine_chunks()
         keys = [whole[name].chunk(0) for name in ("digest", "other")]
         new = np.zeros(len(whole), dtype=bool)
         new[0] = True
