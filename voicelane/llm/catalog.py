@@ -6,14 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voicelane.llm import exact, pieces, shards
-from voicelane.llm.common import table
+from voicelane.llm import (
+    exact,
+    langid,
+    mixing,
+    pieces,
+    shards,
+    simhash,
+    token_counts,
+    token_files,
+    url_rules,
+)
+from voicelane.llm.common import new_path, table
 from voicelane.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, check: str | None = None):
@@ -78,3 +89,65 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those within three bits."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"), distance=3, width=3)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+PAGE_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts for all page URLs, by explicit rules and by rules mined from the labels."""
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), bad.alias("bad"))
+    return url_rules.judged(table(spark, folder, "pages"), labels, PAGE_RULES)
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from two thirds of them."""
+    docs = table(spark, folder, "documents")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    model = langid.train(docs.filter(rest != 1).select("text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(rest == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals, quantiles and truncated totals of all documents for every context limit."""
+    docs = table(spark, folder, "documents").select("text")
+    lengths = pieces.encode(docs, PIECES, decoded=False).select("n_tokens")
+    return token_counts.limits(token_counts.histogram(lengths))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, written in files of compressed planes and read back from them."""
+    out = new_path(spark, "token-planes")
+    manifest = token_files.write(table(spark, folder, "documents"), out, WORDS, end=1)
+    return token_files.read(manifest, out).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op10_mixing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is taken for the target weights of the sources."""
+    found = mixing.mix(table(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
+    return found.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
