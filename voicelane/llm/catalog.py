@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicelane.llm import (
+    embeddings,
     exact,
     langid,
     mixing,
@@ -99,6 +100,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query("op5_embedding_near_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Links between all vectors of a label from cosine 0.98 on."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"), least=0.98)
+
+
 PAGE_RULES = [
     ("block", "net", "/"),
     ("allow", "example.net", "/en/"),

@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from voicelane.llm import common
 
-MAGIC, FOOTER = b"VLPLANE1", struct.Struct("<8Q8s")
+MAGIC, FOOTER = b"VLPLANE1", "<8Q8s"  # struct format
 BLOCK_IDS, LEVEL = 1 << 16, 3
 #: Pieces of text whose ids are held per worker process: a bound on memory, not on what is encoded.
 HELD = 500_000
@@ -138,7 +138,7 @@ class Writer:
         check = zlib.crc32(index + table)
         self.stream.write(index + table)
         counts = (self.at, self.at + len(index), len(self.chunks), count, self.ids, len(docs), self.block, check)
-        self.stream.write(FOOTER.pack(*counts, MAGIC))
+        self.stream.write(struct.pack(FOOTER, *counts, MAGIC))
 
 
 class Reader:
@@ -148,10 +148,10 @@ class Reader:
         import zstandard
 
         self.file, self.unpack = file, zstandard.ZstdDecompressor().decompress
-        footer = FOOTER.unpack(self._bytes(size - FOOTER.size, FOOTER.size))
+        footer = struct.unpack(FOOTER, self._bytes(size - struct.calcsize(FOOTER), struct.calcsize(FOOTER)))
         index_at, docs_at, chunks, planes_, self.ids, docs, self.block, check, magic = footer
         index = self._bytes(index_at, docs_at - index_at)
-        table = self._bytes(docs_at, size - FOOTER.size - docs_at)
+        table = self._bytes(docs_at, size - struct.calcsize(FOOTER) - docs_at)
         if magic != MAGIC or zlib.crc32(index + table) != check:
             raise ValueError("not a whole file of token planes")
         self.chunks = np.frombuffer(index, dtype="<u8").reshape(chunks, planes_ + 1)
