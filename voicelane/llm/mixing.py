@@ -116,17 +116,33 @@ def tilts(sizes: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
     return now.select("key", "scale", "tilt", "full", "target")
 
 
+def _copies(sizes: list[int], rates: list[float], most: float) -> list[int]:
+    """Whole copies of the documents of a block (largest first) with nearly the words of their rates."""
+    owed, copies, between = 0.0, [], []
+    for i, (size, rate) in enumerate(zip(sizes, rates, strict=True)):
+        low = math.floor(rate)
+        owed += (rate - low) * size
+        more = rate > low and low < most and owed * 2 >= size
+        owed -= size * more
+        copies.append(low + more)
+        if rate > low and low < most:
+            between.append(i)
+    # What is left over: turn the document round that brings it closest to nothing.
+    for _ in range(4):
+        turned = [(abs(owed - sizes[i] * (1 if copies[i] <= rates[i] else -1)), i) for i in between]
+        left, i = min(turned, default=(math.inf, 0))
+        if left >= abs(owed):
+            break
+        step = 1 if copies[i] <= rates[i] else -1
+        copies[i] += step
+        owed -= step * sizes[i]
+    return copies
+
+
 def _rounded(most: float):
     def rounded(block: pd.DataFrame) -> pd.DataFrame:
-        """Whole copies of the documents of a block, largest first."""
         block = block.sort_values(["size", "hash"], ascending=[False, True], kind="stable")
-        owed, copies = 0.0, []
-        for size, rate in zip(block["size"].tolist(), block["rate"].tolist(), strict=True):
-            low = math.floor(rate)
-            owed += (rate - low) * size
-            more = rate > low and low < most and owed * 2 >= size
-            owed -= size * more
-            copies.append(low + more)
+        copies = _copies(block["size"].tolist(), block["rate"].tolist(), most)
         return block[["doc_id", "hash", "size", "key"]].assign(copies=copies)
 
     return rounded

@@ -315,7 +315,7 @@ def similar_kept(
     docs: DataFrame,
     similarity: float = 0.8,
     width: int = 5,
-    distance: int = 10,
+    distance: int = 12,
     words: int = 8,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -324,7 +324,8 @@ def similar_kept(
     shingles of ``width`` words.
 
     The first 64 bits find candidates within ``distance``; all ``words`` of the fingerprint then have
-    to differ in no more bits than two sets of equal size with that Jaccard similarity do on average.
+    to differ in no more bits than two sets of equal size with that Jaccard similarity do on average,
+    and one standard deviation of that number.
     Documents without words are no near-duplicates of anything; rows without id stay, as do all rows
     that repeat an id that stays.
     """
@@ -332,9 +333,9 @@ def similar_kept(
     known = fingerprinted(narrow, width=width, distinct=True, words=words).filter("shingles > 0")
     known = common.written(known.select("doc_id", "fp", "more"), "documents-fp")
     cosine = 2 * similarity / (1 + similarity)
-    most = round(BITS * words * math.acos(cosine) / math.pi)
-    # The first word counts as well: its own distance is bounded, so it is left out of the sum.
-    groups = linked(known, distance, (words - 1, most * (words - 1) // words))
+    # The first word is bounded by the distance already; the others are added up.
+    bits, chance = BITS * (words - 1), math.acos(cosine) / math.pi
+    most = round(bits * chance + math.sqrt(bits * chance * (1 - chance)))
+    groups = linked(known, distance, (words - 1, most))
     dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    stays = docs.join(dropped.distinct(), F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
-    return stays
+    return docs.join(dropped.distinct(), F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
