@@ -274,21 +274,24 @@ def links(fps: DataFrame, distance: int, further: tuple[int, int] | None = None)
 
 
 def linked(
-    known: DataFrame, distance: int, further: tuple[int, int] | None = None, doc_id: str = "doc_id"
+    known: DataFrame, distance: int, further: tuple[int, int] | None = None, verified=None
 ) -> DataFrame:
-    """``known`` (documents with ``fp`` and perhaps ``more``; it is read more than once) with
+    """``known`` (``doc_id``, ``fp`` and perhaps ``more``; it is read more than once) with
     ``component_id``: the smallest id that links lead to, its own included.
 
     Equal fingerprints become one node before anything is compared, so copies cost one row per task.
+    ``verified`` may take links away: it gets the nodes (``node``, ``_least``: their smallest id) and
+    the links.
     """
     spark = known.sparkSession
     key = ["fp", *(["more"] if further else [])]
-    nodes = known.groupBy(*key).agg(F.min(doc_id).alias("_least"))
+    nodes = known.groupBy(*key).agg(F.min("doc_id").alias("_least"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     if nodes.isEmpty():
         none = spark.createDataFrame([], nodes.select(*key, F.col("_least").alias("component_id")).schema)
         return known.join(none, key, "left")
-    roots = common.components(links(nodes.drop("_least"), distance, further))
+    pairs = links(nodes.drop("_least"), distance, further)
+    roots = common.components(verified(nodes, common.written(pairs, "candidates")) if verified else pairs)
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = of_node.join(roots.select(F.col("root")).distinct(), "root", "left_semi")
     least = joined.groupBy("root").agg(F.min("_least").alias("_of_root"))
@@ -311,6 +314,15 @@ def near_duplicates(
     return linked(known, distance).select("doc_id", "fp", "component_id")
 
 
+def _shingled(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` (``text``) with ``hashes``: the distinct shingles of the whole text."""
+
+    def rows(texts):
+        return [[np.unique(shingle_hashes(t or "", width)).view(np.int64) for t in texts]]
+
+    return common.extended(docs, {"text": F.col("text")}, "hashes array<bigint>", rows).drop("text")
+
+
 def similar_kept(
     docs: DataFrame,
     similarity: float = 0.8,
@@ -320,22 +332,31 @@ def similar_kept(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``docs`` less all but one document (the smallest id) of each group of near-duplicates, on
-    shingles of ``width`` words.
-
-    The first 64 bits find candidates within ``distance``; all ``words`` of the fingerprint then have
-    to differ in no more bits than two sets of equal size with that Jaccard similarity do on average,
-    and one standard deviation of that number.
-    Documents without words are no near-duplicates of anything; rows without id stay, as do all rows
-    that repeat an id that stays.
+    """``docs`` less all but one document (the smallest id) of each group of near-duplicates: those
+    with a Jaccard similarity of at least ``similarity`` on shingles of ``width`` words.
+
+    Candidates differ in at most ``distance`` of the first 64 fingerprint bits, and in the further
+    ``words`` in no more bits than two sets of that similarity do on average and two standard
+    deviations; their shingles are then compared exactly. Documents without words are no
+    near-duplicates of anything; rows without id stay, as do all rows that repeat an id that stays.
     """
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = fingerprinted(narrow, width=width, distinct=True, words=words).filter("shingles > 0")
     known = common.written(known.select("doc_id", "fp", "more"), "documents-fp")
-    cosine = 2 * similarity / (1 + similarity)
-    # The first word is bounded by the distance already; the others are added up.
-    bits, chance = BITS * (words - 1), math.acos(cosine) / math.pi
-    most = round(bits * chance + math.sqrt(bits * chance * (1 - chance)))
-    groups = linked(known, distance, (words - 1, most))
+    bits, chance = BITS * (words - 1), math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = round(bits * chance + 2 * math.sqrt(bits * chance * (1 - chance)))
+
+    def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+        asked = nodes.join(ends, "node").select("node", F.col("_least").alias("doc_id"))
+        texts = narrow.join(asked, "doc_id").dropDuplicates(["node"])
+        sets = common.written(_shingled(texts.select("node", "text"), width), "shingles")
+        a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+        b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+        same = F.size(F.array_intersect("a", "b"))
+        jaccard = same / (F.size("a") + F.size("b") - same)
+        return pairs.join(a, "u").join(b, "v").filter(jaccard >= similarity).select("u", "v")
+
+    groups = linked(known, distance, (words - 1, most), verified)
     dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped.distinct(), F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
