@@ -10,7 +10,7 @@ ends with an index of its chunks (blocks) and documents, so any range of ids can
     chunk index     per chunk: offset, then the length of each plane (unsigned 64-bit)
     document index  document ids, then numbers of ids (signed 64-bit), compressed together
     footer          offsets of both indexes, number of chunks, planes, ids, documents, ids per block,
-                    checksum of the indexes (unsigned 64-bit), magic
+                    checksum of all these (unsigned 64-bit), magic
 
 One file per range of document ids. Files are written to the shared folder under names of their own;
 those that count are in a manifest that Spark commits, so what a lost or repeated task leaves behind
@@ -135,10 +135,9 @@ class Writer:
         null = np.iinfo(np.int64).min  # stands for a null id
         docs = np.array([null if d is None else d for d in self.docs], dtype="<i8")
         table = self.pack(docs.tobytes() + np.array(self.sizes, dtype="<i8").tobytes())
-        check = zlib.crc32(index + table)
-        self.stream.write(index + table)
-        counts = (self.at, self.at + len(index), len(self.chunks), count, self.ids, len(docs), self.block, check)
-        self.stream.write(struct.pack(FOOTER, *counts, MAGIC))
+        counts = (self.at, self.at + len(index), len(self.chunks), count, self.ids, len(docs), self.block)
+        check = zlib.crc32(index + table + struct.pack("<7Q", *counts))
+        self.stream.write(index + table + struct.pack(FOOTER, *counts, check, MAGIC))
 
 
 class Reader:
@@ -149,11 +148,14 @@ class Reader:
 
         self.file, self.unpack = file, zstandard.ZstdDecompressor().decompress
         footer = struct.unpack(FOOTER, self._bytes(size - struct.calcsize(FOOTER), struct.calcsize(FOOTER)))
-        index_at, docs_at, chunks, planes_, self.ids, docs, self.block, check, magic = footer
+        *counts, check, magic = footer
+        index_at, docs_at, chunks, planes_, self.ids, docs, self.block = counts
+        if magic != MAGIC:
+            raise ValueError("not a whole file of token planes")
         index = self._bytes(index_at, docs_at - index_at)
         table = self._bytes(docs_at, size - struct.calcsize(FOOTER) - docs_at)
-        if magic != MAGIC or zlib.crc32(index + table) != check:
-            raise ValueError("not a whole file of token planes")
+        if zlib.crc32(index + table + struct.pack("<7Q", *counts)) != check:
+            raise ValueError("a damaged file of token planes")
         self.chunks = np.frombuffer(index, dtype="<u8").reshape(chunks, planes_ + 1)
         both = np.frombuffer(self.unpack(table), dtype="<i8")
         self.docs, self.sizes = both[:docs], both[docs:]
