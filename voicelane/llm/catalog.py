@@ -18,7 +18,7 @@ from voicelane.llm import (
     token_files,
     url_rules,
 )
-from voicelane.llm.common import new_path, table
+from voicelane.llm.common import new_path, table, written
 from voicelane.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -138,7 +138,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Totals, quantiles and truncated totals of all documents for every context limit."""
     docs = table(spark, folder, "documents").select("text")
     lengths = pieces.encode(docs, PIECES, decoded=False).select("n_tokens")
-    return token_counts.limits(token_counts.histogram(lengths))
+    return token_counts.limits(written(token_counts.histogram(lengths), "token-histogram"))
 
 
 @query("op9_token_files")

@@ -27,7 +27,10 @@ def limits(counted: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per length that occurs, as a context limit: ``documents`` and ``tokens`` of that length,
     ``documents_upto`` and ``tokens_upto`` (that length or less), ``documents_over`` and
     ``tokens_over`` (longer), ``kept_tokens`` (what stays when all are cut to it), ``cut_tokens``, and
-    ``share_upto``, by which quantiles are found. No documents give no rows."""
+    ``share_upto``, by which quantiles are found. No documents give no rows.
+
+    ``counted`` is read twice, so it should be a table, not the counting itself.
+    """
     by = by or []
     rows = counted.withColumn("tokens", F.col("n_tokens") * F.col("documents"))
     rows = rows.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
