@@ -3,8 +3,8 @@
 A chain of ``contains`` reads a text once per word; with some 200 words that dominates every job
 that touches review text (about six times the cost measured for the pass used here). The words are
 compiled into a string-matching automaton, run by Arrow batch; it returns one small number per row
-and everything else stays in the JVM. Where the automaton library is missing, native expressions
-give the same result.
+and everything else stays in the JVM. Executors need the automaton library (``pyahocorasick``);
+:func:`native_mask` gives the same result without it, for callers that choose it.
 """
 
 from __future__ import annotations
@@ -16,11 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # the native form is used instead
-    ahocorasick = None
-
 Groups = Mapping[str, Sequence[str]]
 
 
@@ -60,6 +55,8 @@ def native_mask(text: Column, groups: Groups, prune: bool = True) -> Column:
 
 
 def _automaton(values: Mapping[str, int]):
+    import ahocorasick  # on the executor
+
     automaton = ahocorasick.Automaton()
     for word, value in values.items():
         automaton.add_word(word, value)
@@ -69,8 +66,6 @@ def _automaton(values: Mapping[str, int]):
 
 def word_mask(text: Column, groups: Groups) -> Column:
     """Like :func:`native_mask`, in one pass per text. Null text gives 0."""
-    if ahocorasick is None:
-        return F.coalesce(native_mask(text, groups), F.lit(0).cast("bigint"))
     values: dict[str, int] = {}
     for i, words in enumerate(groups.values()):
         for word in deciding_words(words):
@@ -93,13 +88,6 @@ def word_mask(text: Column, groups: Groups) -> Column:
 
 def words_found(text: Column, words: Sequence[str]) -> Column:
     """Positions (in ``words``) of all words that occur in the lower-cased text."""
-    if ahocorasick is None:
-        return bound(
-            F.lower(text),
-            lambda t: F.array_compact(
-                F.array(*[F.when(F.contains(t, F.lit(w)), i) for i, w in enumerate(words)])
-            ),
-        )
     values = {w: i for i, w in enumerate(words)}
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

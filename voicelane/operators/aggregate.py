@@ -118,7 +118,10 @@ def mentions(reviews: DataFrame, keep: Sequence[str]) -> DataFrame:
 
     ``position`` is where the review lists the category first.
     """
-    return reviews.select(*keep, "categories", F.explode("categories").alias("category")).select(
+    # Not explode: from it the optimizer derives a filter that would ask for the categories, and so
+    # for the words of the text, a second time.
+    listed = F.inline(F.transform("categories", lambda c: F.struct(c.alias("category"))))
+    return reviews.select(*keep, "categories", listed).select(
         *keep,
         "category",
         F.array_position("categories", F.col("category")).cast("int").alias("position"),

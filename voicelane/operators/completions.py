@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicelane import fixed_values as V
@@ -14,13 +14,36 @@ from voicelane.schema import LABELLED
 _LABELLED_DDL = "struct<review_body:string,sentiment:string,categories:array<string>>"
 
 
+# Follows a text that should be one JSON value; the parser itself stops after the first value.
+_END = "voicelane: end of text"
+
+
+def whole_json(text: Column) -> Column:
+    """The JSON value that a text is as a whole, or null. Of a repeated key the last value counts.
+
+    The text becomes the first of two elements of an array, which must then have just these two.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+    def only(pair: Column) -> Column:
+        second = F.try_variant_get(pair, "$[1]", "string") == _END
+        more = F.try_variant_get(pair, "$[2]", "variant").isNotNull()
+        return F.when(second & ~more, F.try_variant_get(pair, "$[0]", "variant"))
+
+    return bound(both, only)
+
+
 def parse_label_reply(text: Column) -> Column:
     """A reply as a labelled review, or null where it has to be rejected.
 
-    Rejected: text that is no JSON object, a missing key, categories that cannot be iterated (null,
-    number, boolean). An unknown sentiment and unknown categories are repaired.
+    Rejected: text that is no JSON object or has something after it, a missing key, categories that
+    cannot be iterated (null, number, boolean). An unknown sentiment and unknown categories are
+    repaired; of a repeated key the last value counts.
     """
-    return bound(F.try_parse_json(strip_fence(text)), _label_of)
+    return bound(whole_json(strip_fence(text)), _label_of)
 
 
 def _label_of(reply: Column) -> Column:
@@ -69,7 +92,7 @@ def completion_lines(completions: DataFrame) -> DataFrame:
 
 
 def _line_ok(line: Column) -> Column:
-    return F.try_parse_json(line).isNotNull()
+    return whole_json(line).isNotNull()
 
 
 def accept_batches(lines: DataFrame, by: list[str], requested: str = "requested_n") -> DataFrame:

@@ -1,8 +1,9 @@
 """Language identification from character-gram profiles.
 
-Training is one Spark job over labelled text. The model is small by construction (at most
-``grams`` rows per language, a checked number of languages), so detection is row by row: an
-Arrow function that looks grams up in sorted arrays, with no shuffle and no per-row Python loop.
+Training is one Spark job over labelled text. A profile has all grams of one to three letters that a
+language uses, so its size depends on alphabets, not on the corpus; it is measured before it travels
+with the tasks. Detection is row by row: an Arrow function that looks grams up in sorted arrays, with
+no shuffle and no per-row Python loop.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voicelane.functions.matching import bound
 
 DEFAULT_LANGUAGE = "en"
-GRAMS_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 200
+# Largest weight table that travels with tasks. Profiles grow with alphabets, not with the corpus.
+MAX_PROFILE_BYTES = 256 << 20
 # Weights are whole thousandths of a natural logarithm: sums are exact in any order.
 SCALE = 1000
 # Characters handled at once inside a task: its arrays then stay in the CPU caches, and a batch of
@@ -56,9 +57,9 @@ def language_profile(
     labelled: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    grams: int = GRAMS_PER_LANGUAGE,
+    grams: int | None = None,
 ) -> DataFrame:
-    """The most frequent grams of each language with their weights.
+    """The grams of each language with their weights: all, or the ``grams`` most frequent ones.
 
     Words are counted first, so grams are cut out of distinct words only and both shuffles carry
     counters.
@@ -79,8 +80,9 @@ def language_profile(
         .agg(F.sum("n").alias("n"))
     )
     by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
-    kept = counted.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= grams)
-    # At most ``grams`` rows per language are left for this sum.
+    kept = counted.withColumn("rank", F.row_number().over(by_rank))
+    if grams is not None:
+        kept = kept.filter(F.col("rank") <= grams)
     mass = F.sum("n").over(Window.partitionBy("lang")).cast("double")
     weight = F.bround(F.log(F.col("n") / mass) * SCALE, 0).cast("bigint")
     floor = F.bround(F.log(F.lit(0.5) / mass) * SCALE, 0).cast("bigint")
@@ -154,27 +156,33 @@ class _Profile:
         return total[:, :-1], total[:, -1]
 
 
-def detector(
-    profile: DataFrame,
-    grams: int = GRAMS_PER_LANGUAGE,
-    default: str = DEFAULT_LANGUAGE,
-) -> Callable[[Column], Column]:
+def save_profile(profile: DataFrame, path: str) -> None:
+    """Stores a profile, so that detection need not count the corpus again."""
+    profile.write.mode("overwrite").parquet(path)
+
+
+def load_profile(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def detector(profile: DataFrame, default: str = DEFAULT_LANGUAGE) -> Callable[[Column], Column]:
     """A column function for the language of a text; text without known letters is ``default``.
 
     Every gram of the text that some profile knows adds its weight to each language (a language
     that does not know it adds its floor); the largest sum wins, ties go to the first code.
     """
-    bound_rows = grams * MAX_LANGUAGES
-    rows = profile.select("lang", "gram", "weight", "floor_weight").limit(bound_rows + 1).collect()
-    if len(rows) > bound_rows:
-        raise ValueError(f"profile has more than {bound_rows} rows")
+    size = profile.agg(F.countDistinct("lang") * F.countDistinct("gram") * 8).first()[0]
+    if size > MAX_PROFILE_BYTES:
+        raise ValueError(f"the profile needs {size} bytes, more than {MAX_PROFILE_BYTES}")
+    rows = profile.select("lang", "gram", "weight", "floor_weight").collect()
     langs = sorted({r["lang"] for r in rows})
     names = sorted({r["gram"] for r in rows})
     place = {name: i for i, name in enumerate(names)}
+    number = {lang: i for i, lang in enumerate(langs)}
     floors = {r["lang"]: r["floor_weight"] for r in rows}
     weights = np.tile(np.array([floors[lang] for lang in langs], dtype=np.int64), (len(names), 1))
     for r in rows:
-        weights[place[r["gram"]], langs.index(r["lang"])] = r["weight"]
+        weights[place[r["gram"]], number[r["lang"]]] = r["weight"]
 
     def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _Profile(names, weights) if names else None

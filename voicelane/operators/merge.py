@@ -33,9 +33,10 @@ def _spread_hot(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Adds ``_part``: 0 for ordinary keys, some other number for rows of a hot key.
 
     Joined on (key, _part) with a side that only has part 0, rows of hot keys match nothing and go
-    to many tasks. They have to be answered before, from the few hot keys of the other side.
+    to many tasks. They have to be answered before, from the few hot keys of the other side. The part
+    comes from the row itself, so a repeated task sends it to the same place.
     """
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(_SPREAD)) + 1
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(_SPREAD)) + 1
     flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     return flagged.withColumn("_part", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
 
@@ -97,24 +98,36 @@ def merge_enrichment(
     return merged.unionByName(unkeyed)
 
 
-def done_keys(labelled: DataFrame, text: str = "review_body") -> DataFrame:
-    """Distinct text prefixes that are labelled already; rows without text count as not done."""
+def _resume_key(text: Column, key_chars: int | None) -> Column:
+    """What tells one review from another: its first characters, or (None) the whole text."""
+    return text if key_chars is None else prefix(text, key_chars)
+
+
+def done_keys(
+    labelled: DataFrame, text: str = "review_body", key_chars: int | None = V.RESUME_KEY_CHARS
+) -> DataFrame:
+    """Distinct keys that are labelled already; rows without text count as not done."""
     return (
         labelled.filter(F.col(text).isNotNull())
-        .select(prefix(F.col(text), V.RESUME_KEY_CHARS).alias("done_key"))
+        .select(_resume_key(F.col(text), key_chars).alias("done_key"))
         .distinct()
     )
 
 
-def resume(candidates: DataFrame, labelled: DataFrame, text: str = "review") -> DataFrame:
-    """Candidates that are no spam and whose prefix is not labelled yet.
+def resume(
+    candidates: DataFrame,
+    labelled: DataFrame,
+    text: str = "review",
+    key_chars: int | None = V.RESUME_KEY_CHARS,
+) -> DataFrame:
+    """Candidates that are no spam and whose key is not labelled yet: by default their first
+    characters, so reviews that begin alike count as one; ``None`` compares whole texts.
 
-    Copies inside the candidates all stay. The few prefixes that very many candidates share are
+    Copies inside the candidates all stay. The few keys that very many candidates share are
     looked up by broadcast, and their rows are spread over many tasks in the join of the others.
     """
-    key = prefix(F.col(text), V.RESUME_KEY_CHARS)
-    keyed = candidates.withColumn("done_key", key)
-    done = done_keys(labelled)
+    keyed = candidates.withColumn("done_key", _resume_key(F.col(text), key_chars))
+    done = done_keys(labelled, key_chars=key_chars)
     hot = hot_keys(keyed.select("done_key"), "done_key")
     hot_done = done.join(F.broadcast(hot), "done_key", "left_semi")
     clean = keyed.filter(~L.is_spam(F.col(text))).join(
@@ -128,16 +141,19 @@ def resume(candidates: DataFrame, labelled: DataFrame, text: str = "review") ->
 
 
 def label_run_stats(
-    candidates: DataFrame, labelled: DataFrame, text: str = "review"
+    candidates: DataFrame,
+    labelled: DataFrame,
+    text: str = "review",
+    key_chars: int | None = V.RESUME_KEY_CHARS,
 ) -> DataFrame:
     """Totals of a labelling run: reviews, spam, keys done, reviews remaining.
 
     One pass over the candidates: they are counted per key before anything is joined, so copies of
     a review meet as one counter each.
     """
-    done = done_keys(labelled)
+    done = done_keys(labelled, key_chars=key_chars)
     spam = F.coalesce(L.is_spam(F.col(text)), F.lit(False))
-    per_key = candidates.groupBy(prefix(F.col(text), V.RESUME_KEY_CHARS).alias("done_key")).agg(
+    per_key = candidates.groupBy(_resume_key(F.col(text), key_chars).alias("done_key")).agg(
         F.count("*").alias("n"), F.count_if(spam).alias("n_spam")
     )
     flagged = per_key.join(done.withColumn("_done", F.lit(True)), "done_key", "left")

@@ -206,7 +206,7 @@ _PROFILE = f"""lang_words AS (SELECT lang, word, count(*) AS n FROM
 lang_grams AS (SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n FROM
     (SELECT lang, n, unnest({_GRAMS}) AS gram FROM lang_words) GROUP BY lang, gram),
 lang_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram)
-    AS rank FROM lang_grams) WHERE rank <= {language.GRAMS_PER_LANGUAGE}),
+    AS rank FROM lang_grams)),
 profile AS (SELECT lang, gram, n, rank,
     CAST(round_even(ln(n / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE)) * 1000, 0) AS BIGINT)
       AS weight,

@@ -526,7 +526,7 @@ def strip_fence(spark, folder):
 
 
 def _label_reply(valid: F.Column) -> F.Column:
-    """A stored label reply for a review: fenced JSON, or cut-off JSON where it is not valid."""
+    """A stored label reply for a review: fenced JSON, or none that may pass where it is not valid."""
     body = F.to_json(
         F.struct(
             F.col("review").alias("review_body"),
@@ -534,8 +534,19 @@ def _label_reply(valid: F.Column) -> F.Column:
             F.coalesce("categories", F.array(F.lit("Weather"))).alias("categories"),
         )
     )
+    # Every other valid one names its sentiment twice, of which the second counts.
+    twice = F.concat(F.lit('{"sentiment":"not this",'), F.substring(body, 2, 1 << 30))
+    body = F.when(F.col("database_id") % 2 == 0, body).otherwise(twice)
     text = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
-    return F.when(valid, text).otherwise(F.concat(F.lit("```json\n"), F.substring(body, 1, 30)))
+    # What is not valid is cut off, or has a remark, a second object or a list end after it.
+    broken = (
+        F.when(F.col("database_id") % 5 == 0, F.concat(body, F.lit("\nHope this helps!")))
+        .when(F.col("database_id") % 5 == 1, F.concat(body, body))
+        .when(F.col("database_id") % 5 == 2, F.concat(body, F.lit(","), body))
+        .when(F.col("database_id") % 5 == 3, F.concat(body, F.lit("]")))
+        .otherwise(F.concat(F.lit("```json\n"), F.substring(body, 1, 30)))
+    )
+    return F.when(valid, text).otherwise(broken)
 
 
 def _label_completions(spark: SparkSession, folder: str) -> DataFrame:
@@ -612,10 +623,14 @@ def repair_labels(spark, folder):
 
 
 def _generated(spark: SparkSession, folder: str) -> DataFrame:
-    """One generated batch per conversation: every turn becomes its lines, answers as JSON objects,
-    system turns as broken ones, user turns as plain prose."""
+    """One generated batch per conversation: every turn becomes its lines, answers as JSON objects
+    (every third with something after it), system turns as broken ones, user turns as plain prose."""
+    answer = F.to_json(F.struct(F.col("text").alias("review_body")))
     line = (
-        F.when(F.col("role") == "assistant", F.to_json(F.struct(F.col("text").alias("review_body"))))
+        F.when(
+            F.col("role") == "assistant",
+            F.concat(answer, F.when(F.col("conv_id") % 3 == 0, F.lit(' {"and": "more"}')).otherwise("")),
+        )
         .when(F.col("role") == "system", F.concat(F.lit("{"), F.translate("text", "\n{", "  ")))
         .otherwise(F.concat(F.lit("Note: "), F.col("text")))
     )
@@ -630,7 +645,8 @@ def _generated(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "completion_lines",
     "SELECT conv_id AS request_id, turn AS attempt, CAST(0 AS BIGINT) AS line_no, "
-    f"CASE WHEN role = 'assistant' THEN md5({Q.strip('CAST(to_json({review_body: text}) AS VARCHAR)')})"
+    f"CASE WHEN role = 'assistant' THEN md5({Q.strip('CAST(to_json({review_body: text}) AS VARCHAR)')} || "
+    "CASE WHEN conv_id % 3 = 0 THEN ' {\"and\": \"more\"}' ELSE '' END)"
     f" ELSE md5({Q.strip(chr(39) + '{' + chr(39) + ' || replace(replace(text, chr(10), chr(32)), chr(123), chr(32))')}) END"
     " AS line_md5 FROM conversations WHERE role IN ('assistant', 'system')",
 )
@@ -645,7 +661,7 @@ def completion_lines(spark, folder):
     "accept_batches",
     "SELECT conv_id AS request_id, count(*) FILTER (WHERE role = 'assistant') AS lines FROM conversations "
     "WHERE role IN ('assistant', 'system') GROUP BY conv_id "
-    "HAVING count(*) FILTER (WHERE role = 'system') = 0 AND count(*) >= 1",
+    "HAVING count(*) FILTER (WHERE role = 'system' OR conv_id % 3 = 0) = 0 AND count(*) >= 1",
 )
 def accept_batches(spark, folder):
     lines = C.completion_lines(_generated(spark, folder))
@@ -655,7 +671,7 @@ def accept_batches(spark, folder):
 @query(
     "ingest_generated",
     "SELECT conv_id AS request_id, md5(arg_min(text, turn)) AS body_md5 FROM conversations "
-    "WHERE role = 'assistant' AND turn < 3 GROUP BY conv_id",
+    "WHERE role = 'assistant' AND turn < 3 AND conv_id % 3 <> 0 GROUP BY conv_id",
 )
 def ingest_generated(spark, folder):
     return C.ingest_generated(_generated(spark, folder)).select(

@@ -54,12 +54,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Enough partitions for all cores where a scan yields fewer (one small file, one row group).
+    """All cores for a table that is a single split, so at most ``maxPartitionBytes`` of it are moved.
 
-    A scan of many files already has more and is left alone: no text is shuffled at scale.
+    Any other table is read as it is: no text is shuffled, whatever the number of cores.
     """
     wanted = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(wanted, key) if rows.rdd.getNumPartitions() < wanted else rows
+    return rows.repartition(wanted, key) if rows.rdd.getNumPartitions() == 1 else rows
 
 
 def review_view(documents: DataFrame, labels: DataFrame) -> DataFrame:

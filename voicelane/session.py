@@ -40,9 +40,14 @@ def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a new local one only where unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a new local one, but
+    only for a session on a single machine: on a cluster each executor would write its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else _local_folder()
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
 
 
 @functools.cache

@@ -45,9 +45,11 @@ def start_enrichment(
 
 
 def current_enrichment(spark: SparkSession, store: str) -> DataFrame:
-    """The newest enrichment of every review: a later delivery replaces an earlier one."""
+    """The newest enrichment of every review: a later delivery replaces an earlier one. Reviews
+    without id replace nothing and all stay."""
     rows = spark.read.parquet(store).withColumn("version", F.struct("batch", "ordinal"))
-    return latest_per_key(rows.drop("batch", "ordinal"), "database_id", "version")
+    newest = latest_per_key(rows.drop("batch", "ordinal"), "database_id", "version")
+    return newest.unionByName(rows.filter(F.col("database_id").isNull()).select(*newest.columns))
 
 
 def start_counters(
