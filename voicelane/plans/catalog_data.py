@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicelane import fixed_values as V
-from voicelane.operators import classifiers, encoding, language, numbering
+from voicelane.operators import encoding, language, numbering
 from voicelane.operators import scoring as S
 from voicelane.operators import training as TR
 from voicelane.plans import check_sql as Q
@@ -335,13 +335,6 @@ def encode(spark, folder):
     )
 
 
-@query("train_eval")
-def train_eval(spark, folder):
-    return classifiers.train_eval(
-        reviews(spark, folder).select("review", "sentiment", "categories")
-    )
-
-
 # --- streams ----------------------------------------------------------------------------------
 
 

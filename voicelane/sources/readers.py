@@ -18,6 +18,7 @@ from voicelane.functions.text import (
 )
 from voicelane.schema import CSV_COLUMNS, EXPORT_RATINGS, HIT, LABELLED, RAW_REVIEW, REQUEST
 
+CSV_MOST_COLUMNS = 64
 _ROW_BITS = 33  # the bits of a generated id that count rows inside one task
 
 
@@ -56,23 +57,41 @@ def read_hits(spark: SparkSession, path: str, json_array: bool = True) -> DataFr
     return hits_to_reviews(_located(hits), ["source_file", "ordinal"])
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV export rows as text by header name; columns an export lacks are null."""
+def _csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Column names of each file, from its first line: one row per file."""
+    first = F.min_by("value", "ordinal")
+    lines = _located(spark.read.text(path))
+    names = F.transform(
+        F.split(F.regexp_replace("value", "^\ufeff", ""), ","), lambda n: F.trim(F.trim(n), F.lit('"'))
+    )
+    return lines.groupBy("source_file").agg(first.alias("value")).select("source_file", names.alias("_names"))
+
+
+def csv_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV export rows as text by header name; columns an export lacks are null.
+
+    Each file of a folder is read by its own header (of at most ``CSV_MOST_COLUMNS`` names). Records
+    may have line breaks inside, so a file is one task; ``multi_line=False`` splits large files whose
+    records have none.
+    """
+    fields = [f"_c{i}" for i in range(CSV_MOST_COLUMNS)]
     rows = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
+        spark.read.schema(", ".join(f"{name} string" for name in fields))
+        .option("header", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
-        .option("enforceSchema", False)
         .csv(path)
     )
-    present = set(rows.columns)
-    return _located(rows).select(
-        *[(F.col(c) if c in present else F.lit(None)).cast("string").alias(c) for c in CSV_COLUMNS],
-        "source_file",
-        "ordinal",
-    )
+    # One row per file, small next to any of its files.
+    named = _located(rows).join(F.broadcast(_csv_headers(spark, path)), "source_file")
+
+    def value(name: str) -> Column:
+        # Of columns with the same name the first counts.
+        return F.get(F.array(*fields), (F.array_position("_names", name) - 1).cast("int")).alias(name)
+
+    return named.select(*[value(c) for c in CSV_COLUMNS], "source_file", "ordinal")
 
 
 def csv_to_reviews(rows: DataFrame, keep: Sequence[str] = ("ordinal",)) -> DataFrame:
@@ -121,9 +140,9 @@ def requests_to_reviews(
     )
 
 
-def read_raw_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects with a ``review``."""
-    return _located(spark.read.schema(RAW_REVIEW).option("multiLine", True).json(path))
+def read_raw_reviews(spark: SparkSession, path: str, json_array: bool = True) -> DataFrame:
+    """Objects with a ``review``: a JSON array per file, or (splittable) one object per line."""
+    return _located(spark.read.schema(RAW_REVIEW).option("multiLine", json_array).json(path))
 
 
 def read_labelled(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
