@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from voicelane.session import shared_folder
 
 #: Rows, and bytes of text, handled at once inside a task (at least one row).
-SLICE, SLICE_BYTES = 1_000, 4 << 20
+SLICE, SLICE_BYTES = 1_000, 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

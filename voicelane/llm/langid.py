@@ -27,7 +27,7 @@ SWITCH, FOREIGN = 15.0, 30.0
 #: A script belongs to a language if it has this share of its letters.
 OF_SCRIPT = 0.01
 #: Scores (words of a batch times languages) that are in memory at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 # First code points of script ranges, and the script from there on (0: other).
 SCRIPT_RANGES = (

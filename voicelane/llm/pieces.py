@@ -25,7 +25,7 @@ from voicelane.llm import common
 
 SPACE = "▁"
 #: Words and pairs of pieces held per worker process: a bound on memory, not on what is encoded.
-HELD, LONGEST_HELD = 500_000, 64
+HELD, LONGEST_HELD = 250_000, 64
 
 
 class Held(dict):

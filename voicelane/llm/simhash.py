@@ -30,7 +30,7 @@ from voicelane.llm import common
 SEED = 42
 BITS, BLOCK = 64, 8
 #: Costs for the choice of parts: a signature that is sent and sorted, a candidate that is compared.
-ROW_COST, CANDIDATE_COST = 1.0, 0.02
+ROW_COST, CANDIDATE_COST = 1.0, 0.004
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -243,14 +243,12 @@ def _long(number: int) -> str:
     return f"{number}L" if number > -(1 << 63) else "(-9223372036854775807L - 1L)"
 
 
-def links(fps: DataFrame, distance: int, further: tuple[int, int] | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int) -> DataFrame:
     """Pairs ``(u, v)`` of nodes whose fingerprints differ in at most ``distance`` bits, each once.
 
-    ``fps`` has one row per node: ``node``, ``fp`` and, if ``further`` is given as (number of further
-    words, most bits), ``more``, in all of which at most so many bits may differ.
+    ``fps`` has one row per node: ``node``, ``fp``.
     """
-    parts = planned(fps, distance)
-    carried = ["node", "fp", *(["more"] if further else [])]
+    parts, carried = planned(fps, distance), ["node", "fp"]
 
     def filed(prefix: str, near: bool) -> DataFrame:
         signatures = []
@@ -266,31 +264,26 @@ def links(fps: DataFrame, distance: int, further: tuple[int, int] | None = None)
     for number, part in enumerate(parts[:-1]):  # only in the first part that finds the pair
         near = f"bit_count(({differing}) & {_long(part.mask)}) <= {part.threshold}"
         rules.append(f"NOT (part > {number} AND {near})")
-    if further:
-        words, most = further
-        rules.append(" + ".join(f"bit_count(a_more[{i}] ^ b_more[{i}])" for i in range(words)) + f" <= {most}")
     found = filed("a", False).join(filed("b", True), ["part", "key"]).filter(" AND ".join(rules))
     return found.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
 
 
-def linked(
-    known: DataFrame, distance: int, further: tuple[int, int] | None = None, verified=None
-) -> DataFrame:
+def linked(known: DataFrame, distance: int, verified=None) -> DataFrame:
     """``known`` (``doc_id``, ``fp`` and perhaps ``more``; it is read more than once) with
     ``component_id``: the smallest id that links lead to, its own included.
 
     Equal fingerprints become one node before anything is compared, so copies cost one row per task.
-    ``verified`` may take links away: it gets the nodes (``node``, ``_least``: their smallest id) and
-    the links.
+    ``verified`` may take links away: it gets the nodes (``node``, ``_least``: their smallest id,
+    ``more``) and the links.
     """
     spark = known.sparkSession
-    key = ["fp", *(["more"] if further else [])]
+    key = [c for c in ("fp", "more") if c in known.columns]
     nodes = known.groupBy(*key).agg(F.min("doc_id").alias("_least"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     if nodes.isEmpty():
         none = spark.createDataFrame([], nodes.select(*key, F.col("_least").alias("component_id")).schema)
         return known.join(none, key, "left")
-    pairs = links(nodes.drop("_least"), distance, further)
+    pairs = links(nodes, distance)
     roots = common.components(verified(nodes, common.written(pairs, "candidates")) if verified else pairs)
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = of_node.join(roots.select(F.col("root")).distinct(), "root", "left_semi")
@@ -347,6 +340,14 @@ def similar_kept(
     most = round(bits * chance + 2 * math.sqrt(bits * chance * (1 - chance)))
 
     def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+        more = nodes.select("node", "more")
+        apart = " + ".join(f"bit_count(a[{i}] ^ b[{i}])" for i in range(words - 1))
+        near = (
+            pairs.join(more.select(F.col("node").alias("u"), F.col("more").alias("a")), "u")
+            .join(more.select(F.col("node").alias("v"), F.col("more").alias("b")), "v")
+            .filter(f"{apart} <= {most}")
+        )
+        pairs = common.written(near.select("u", "v"), "near-pairs")
         ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
         asked = nodes.join(ends, "node").select("node", F.col("_least").alias("doc_id"))
         texts = narrow.join(asked, "doc_id").dropDuplicates(["node"])
@@ -357,6 +358,6 @@ def similar_kept(
         jaccard = same / (F.size("a") + F.size("b") - same)
         return pairs.join(a, "u").join(b, "v").filter(jaccard >= similarity).select("u", "v")
 
-    groups = linked(known, distance, (words - 1, most), verified)
+    groups = linked(known, distance, verified)
     dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped.distinct(), F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
