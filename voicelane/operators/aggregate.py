@@ -311,8 +311,10 @@ def roll_up(
 def summarise(
     measures: DataFrame, by: Sequence[str] = SCOPE, level: Sequence[str] = ()
 ) -> DataFrame:
-    """Measures to the typed summary. ``level`` holds extra key columns (``scope_level``)."""
-    keys = [*level, *by]
+    """Measures to the typed summary. ``level`` holds extra key columns (``scope_level``); keys in
+    ``by`` that are no scope (a request id) are kept as well."""
+    level = [*level, *[c for c in by if c not in SCOPE]]
+    keys = [*level, *[c for c in by if c in SCOPE]]
     net = F.col("positive") - F.col("negative")
     side = "struct<side:string,weight:bigint>"
     sides = F.when(
@@ -408,7 +410,8 @@ def summarise(
 
 
 def scope_summary(reviews: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
-    """The full summary of every scope in scored ``reviews``."""
+    """The full summary of every scope in scored ``reviews``. With a request id in ``by``, of every
+    request: also of several with one scope."""
     return summarise(scope_measures(reviews, by), by)
 
 

@@ -8,7 +8,7 @@ from voicelane.operators import aggregate as A
 from voicelane.plans import check_sql as Q
 from voicelane.plans.registry import query
 from voicelane.plans.reviews import reviews, scored, table
-from voicelane.schema import RATINGS
+from voicelane.schema import RATINGS, SCOPE
 
 _BY = ["provider", "location"]
 _KEY = "provider, location"
@@ -222,6 +222,14 @@ def scope_summary(spark, folder):
     return flat_summary(A.scope_summary(scored(spark, folder)))
 
 
+@query("request_summary", Q.summary(request="database_id % 3"))
+def request_summary(spark, folder):
+    """Reviews that came in three requests: each request is summarised by itself, scope by scope."""
+    rows = scored(spark, folder).withColumn("request_id", F.pmod("database_id", F.lit(3)))
+    found = A.scope_summary(rows, ["request_id", *SCOPE]).withColumnRenamed("request_id", "scope_level")
+    return flat_summary(found, "scope_level")
+
+
 _SETS = [["provider"], ["provider", "location"], ["location", "renter"], []]
 
 

@@ -160,10 +160,11 @@ SUMMARY_COLUMNS = [
 ]
 
 
-def summary(sets: Sequence[Sequence[str]] | None = None) -> str:
-    """The full summary of each (provider, location, renter), or of each subset in ``sets``."""
+def summary(sets: Sequence[Sequence[str]] | None = None, request: str | None = None) -> str:
+    """The full summary of each (provider, location, renter), of each subset in ``sets``, or of each
+    scope and ``request`` (an expression), named ``scope_level``."""
     keys = ["provider", "location", "renter"]
-    if sets is None:
+    if sets is None and request is None:
         source, extra = "scored_v", []
     else:
         source, extra = "levels_v", ["scope_level"]
@@ -173,6 +174,8 @@ def summary(sets: Sequence[Sequence[str]] | None = None) -> str:
         return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in [*extra, *keys])
 
     ctes = []
+    if request is not None:
+        ctes.append(f"levels_v AS (SELECT {request} AS scope_level, * FROM scored_v)")
     if sets is not None:
         branches = []
         for chosen in sets:
