@@ -127,15 +127,36 @@ def test_vocabulary_order_and_encoding(spark):
     )
     vocab = encoding.vocabulary(examples, ["input", "output"], size=4)
     ids = {r["token"]: r["id"] for r in vocab.collect()}
-    assert ids == {"no": 3, "b": 4, "a": 5, "c": 6}
-    rows = encoding.encode(examples, vocab, size=4).orderBy("id").collect()
-    assert rows[0]["input_ids"] == [4, 5, 4, 1] and rows[0]["labels"] == [2, 1]
+    # After the reserved ids come 256 for the bytes of words that are not in the vocabulary.
+    assert ids == {"no": 259, "b": 260, "a": 261, "c": 262}
+    rows = encoding.encode(examples, vocab).orderBy("id").collect()
+    spelled = [encoding.FIRST_BYTE_ID + b for b in b"yes"]
+    assert rows[0]["input_ids"] == [260, 261, 260, 1] and rows[0]["labels"] == [*spelled, 1]
     assert rows[0]["attention_mask"] == [1, 1, 1, 1]
     assert len(rows[1]["labels"]) == 128 and rows[1]["labels"][-1] == 1
     assert rows[2]["input_ids"] == [1]
     assert rows[0].asDict().keys() == {"id", "input_ids", "attention_mask", "labels"}
 
 
+def test_whole_vocabulary_and_both_ways_to_look_up(spark):
+    texts = ["b a b", "größe öl b", None, "", "x " * 600, "ü" * 300]
+    rows = [(i, t, "a b ß") for i, t in enumerate(texts)]
+    examples = spark.createDataFrame(rows, "id int, input string, output string").repartition(3)
+    vocab = encoding.vocabulary(examples, ["input", "output"])
+    counted = {}
+    for _, text, label in rows:
+        for token in f"{text or ''} {label}".lower().split():
+            counted[token] = counted.get(token, 0) + 1
+    order = sorted(counted, key=lambda t: (-counted[t], t.encode()))
+    assert {r["token"]: r["id"] for r in vocab.collect()} == {t: 259 + i for i, t in enumerate(order)}
+    for known in (vocab, vocab.filter("token IN ('a', 'x')"), vocab.limit(0)):
+        carried = encoding.encode(examples, known).orderBy("id").collect()
+        joined = encoding.encode(examples, known, max_carried_bytes=-1).orderBy("id").collect()
+        assert carried == joined and len(carried) == len(rows)
+        assert all(encoding.V.UNKNOWN_ID not in r["input_ids"] for r in carried)
+        assert max(len(r["input_ids"]) for r in carried) == 512
+
+
 def test_classifiers_learn_and_score(spark):
     good, bad = ("lovely spotless interior", "Cleanliness"), ("tyre exploded badly", "Vehicle Condition")
     rows = [

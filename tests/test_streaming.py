@@ -61,3 +61,23 @@ def test_running_counters_equal_the_batch_summary(spark, tmp_path, rows):
     expected = A.scope_summary(S.score_reviews(rows)).collect()
     found = jobs.current_summary(spark, store).collect()
     assert sorted(map(str, found)) == sorted(map(str, expected))
+
+
+def test_latest_summary_counts_a_review_once(spark, tmp_path, rows):
+    source, store, check = (str(tmp_path / n) for n in ("in", "store", "checkpoint"))
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        jobs.start_scored(stream, store, check).awaitTermination()
+
+    deliver(rows, source)
+    run()
+    # A repetition, and a correction; reviews without id each count.
+    corrected = rows.filter("database_id = 1").withColumn("provider", F.lit("other"))
+    deliver(rows.filter("database_id % 2 = 0").unionByName(corrected), source)
+    run()
+    deliver(rows.filter("database_id = 2").withColumn("database_id", F.lit(None).cast("bigint")), source)
+    run()
+    found = jobs.latest_summary(spark, store, ["provider"]).collect()
+    assert sum(r["total_reviews"] for r in found) == rows.count() + 1
+    assert {r["provider"]: r["total_reviews"] for r in found}["other"] == 1

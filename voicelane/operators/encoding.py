@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voicelane import fixed_values as V
+from voicelane.session import shared_folder
 
-VOCABULARY_SIZE = 32_000
+# Ids after the reserved ones stand for single bytes, which spell what is not in the vocabulary.
+FIRST_BYTE_ID = V.UNKNOWN_ID + 1
+FIRST_TOKEN_ID = FIRST_BYTE_ID + 256
+# Largest vocabulary that travels with tasks; a larger one is joined.
+MAX_CARRIED_BYTES = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -29,10 +35,13 @@ def _pieces(text: Column, limit: int = -1) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", limit)
 
 
-def vocabulary(
-    corpus: DataFrame, columns: Sequence[str], size: int = VOCABULARY_SIZE
-) -> DataFrame:
-    """The ``size`` most frequent tokens with ids after the reserved ones, ties by token."""
+def vocabulary(corpus: DataFrame, columns: Sequence[str], size: int | None = None) -> DataFrame:
+    """Tokens by frequency, ties by token, with ids after the reserved ones: all tokens, or as a limit
+    of the model the ``size`` most frequent ones.
+
+    Ids come from counts per range of the order, so no task sees all tokens. The table is written to
+    the shared folder.
+    """
     texts = F.array(*[F.col(c) for c in columns])
     counted = (
         corpus.select(F.explode(texts).alias("text"))
@@ -42,52 +51,63 @@ def vocabulary(
         .agg(F.count("*").alias("n"))
     )
     order = (F.desc("n"), F.asc("token"))
-    # Top-k per task, merged; the window then sees at most ``size`` rows.
-    kept = counted.orderBy(*order).limit(size)
-    rank = F.row_number().over(Window.orderBy(*order))
-    return kept.select("token", "n", (rank + V.UNKNOWN_ID).cast("bigint").alias("id"))
+    if size is not None:
+        counted = counted.orderBy(*order).limit(size)
+    spark = corpus.sparkSession
+    path = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}"
+    row = F.monotonically_increasing_id()
+    ranges = counted.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges.withColumn("_row", row).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_range", F.shiftright("_row", 33))
+    # One row per range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = starts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(starts, "_range").select(
+        "token", "n", (place + FIRST_TOKEN_ID).cast("bigint").alias("id")
+    )
+
+
+def save_vocabulary(vocab: DataFrame, path: str) -> None:
+    vocab.write.mode("overwrite").parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def encode(
     examples: DataFrame,
     vocab: DataFrame,
-    size: int = VOCABULARY_SIZE,
     max_input: int = V.MAX_INPUT_TOKENS,
     max_label: int = V.MAX_LABEL_TOKENS,
+    max_carried_bytes: int = MAX_CARRIED_BYTES,
 ) -> DataFrame:
     """``input_ids``, ``attention_mask`` and ``labels`` instead of the two text columns.
 
     Sequences end with the end id and are cut to their limits; padding ids in labels become the
-    ignored id. The vocabulary has at most ``size`` rows, so it travels with the task and ids are
-    looked up by Arrow batch, without a shuffle.
+    ignored id. A token outside the vocabulary is spelled by the ids of its bytes, so nothing is lost.
+    A vocabulary that is small enough travels with the tasks and ids are looked up by Arrow batch,
+    without a shuffle; a larger one is joined to the tokens. Both give the same ids.
     """
-    rows = vocab.select("token", "id").orderBy("id").limit(size + 1).collect()
-    if len(rows) > size:
-        raise ValueError(f"vocabulary has more than {size} tokens")
-    words = pa.array([r["token"] for r in rows], pa.string())
-    numbers = pa.array([r["id"] for r in rows], pa.int32())
-
-    def look_up(lists: pa.Array) -> pa.Array:
-        flat = pc.take(numbers, pc.index_in(lists.flatten(), value_set=words))
-        return pa.ListArray.from_arrays(
-            lists.offsets if lists.offset == 0 else _offsets(lists),
-            pc.fill_null(flat, V.UNKNOWN_ID),
+    cells = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 12), F.lit(0))).first()[0]
+    limits = {"input": max_input - 1, "output": max_label - 1}
+    kept = [c for c in examples.columns if c not in limits]
+    if cells <= max_carried_bytes:
+        ids_of = _carried(vocab)
+        found = examples.select(
+            *kept, *[ids_of(first_tokens(F.col(c), n)).alias(f"_{c}") for c, n in limits.items()]
         )
-
-    def _offsets(lists: pa.ListArray) -> pa.Array:
-        return pc.subtract(lists.offsets, lists.offsets[0])
-
-    ids_of = F.arrow_udf(look_up, "array<int>")
+    else:
+        found = _joined(examples, vocab, kept, limits)
     end = F.lit(V.END_ID)
 
-    def sequence(text: str, limit: int) -> Column:
-        return F.array_append(ids_of(first_tokens(F.col(text), limit - 1)), end)
+    def sequence(name: str) -> Column:
+        return F.array_append(F.slice(f"_{name}", 1, limits[name]), end)
 
-    kept = [c for c in examples.columns if c not in ("input", "output")]
-    return examples.select(
-        *kept,
-        sequence("input", max_input).alias("input_ids"),
-        sequence("output", max_label).alias("_labels"),
+    return found.select(
+        *kept, sequence("input").alias("input_ids"), sequence("output").alias("_labels")
     ).select(
         *kept,
         "input_ids",
@@ -96,3 +116,61 @@ def encode(
             "_labels", lambda t: F.when(t == V.PAD_ID, V.IGNORED_LABEL_ID).otherwise(t)
         ).alias("labels"),
     )
+
+
+def _carried(vocab: DataFrame):
+    table = vocab.select("token", F.col("id").cast("int").alias("id")).toArrow().combine_chunks()
+    words, numbers = (table[c].combine_chunks() for c in ("token", "id"))
+    first_byte = FIRST_BYTE_ID
+
+    def look_up(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        found = pc.take(numbers, pc.index_in(flat, value_set=words))
+        offsets = pc.subtract(lists.offsets, lists.offsets[0])
+        if not found.null_count:
+            return pa.ListArray.from_arrays(offsets, found)
+        # Few tokens are unknown: only their lists grow.
+        ids, tokens, at = found.to_pylist(), flat.to_pylist(), offsets.to_pylist()
+        spelled = [
+            [i] if i is not None else [first_byte + b for b in token.encode()]
+            for i, token in zip(ids, tokens, strict=True)
+        ]
+        rows = [[i for part in spelled[a:b] for i in part] for a, b in zip(at, at[1:], strict=False)]
+        return pa.array(rows, pa.list_(pa.int32()))
+
+    return F.arrow_udf(look_up, "array<int>")
+
+
+def _joined(examples: DataFrame, vocab: DataFrame, kept: Sequence[str], limits: dict[str, int]) -> DataFrame:
+    """Ids by a join on the token. Every example has a bounded number of tokens, which meet again by
+    the example's number; the numbered examples are written to the shared folder first."""
+    spark = examples.sparkSession
+    path = f"{shared_folder(spark)}/examples-{uuid.uuid4().hex}"
+    lists = [first_tokens(F.col(c), n).alias(f"_{c}") for c, n in limits.items()]
+    examples.select(*kept, *lists).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(f"_{c}").alias("list")) for c in limits]))
+    asked = rows.select("_row", sides.alias("_s")).select(
+        "_row", "_s.side", F.posexplode("_s.list").alias("pos", "token")
+    )
+    digits = F.hex("token")
+    spelled = F.transform(
+        F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")),
+        lambda i: F.conv(F.substring(digits, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + FIRST_BYTE_ID,
+    )
+    ids = F.when(F.col("id").isNotNull(), F.array(F.col("id").cast("int"))).otherwise(spelled)
+    met = asked.join(vocab.select("token", "id"), "token", "left").select("_row", "side", "pos", ids.alias("ids"))
+    met = met.groupBy("_row").agg(
+        *[
+            F.flatten(
+                F.transform(
+                    F.array_sort(F.collect_list(F.when(F.col("side") == c, F.struct("pos", "ids")))), lambda p: p["ids"]
+                )
+            ).alias(f"_ids_{c}")
+            for c in limits
+        ]
+    )
+    none = F.array().cast("array<int>")
+    return rows.join(met, "_row", "left").select(
+        *kept, *[F.coalesce(f"_ids_{c}", none).alias(f"_{c}") for c in limits]
+    )

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voicelane.operators.aggregate import scope_measures, summarise
+from voicelane.operators.aggregate import scope_measures, scope_summary, summarise
 from voicelane.operators.merge import latest_per_key
 from voicelane.operators.scoring import Scorer, enrich_reviews, lexicon_scorer, score_reviews
-from voicelane.schema import SCOPE
+from voicelane.schema import ALL_RATINGS, SCOPE
 
 
 def _into_batch_folders(rows: DataFrame, store: str, checkpoint: str, mode: str) -> StreamingQuery:
@@ -47,11 +47,35 @@ def start_enrichment(
 def current_enrichment(spark: SparkSession, store: str) -> DataFrame:
     """The newest enrichment of every review: a later delivery replaces an earlier one. Reviews
     without id replace nothing and all stay."""
-    rows = spark.read.parquet(store).withColumn("version", F.struct("batch", "ordinal"))
-    newest = latest_per_key(rows.drop("batch", "ordinal"), "database_id", "version")
+    return _newest_deliveries(spark, store).drop("ordinal")
+
+
+def _newest_deliveries(spark: SparkSession, store: str) -> DataFrame:
+    rows = spark.read.parquet(store)
+    versioned = rows.withColumn("version", F.struct("batch", "ordinal")).drop("batch")
+    newest = latest_per_key(versioned, "database_id", "version")
     return newest.unionByName(rows.filter(F.col("database_id").isNull()).select(*newest.columns))
 
 
+def start_scored(
+    reviews: DataFrame,
+    store: str,
+    checkpoint: str,
+    by: Sequence[str] = SCOPE,
+    scorer: Scorer = lexicon_scorer,
+) -> StreamingQuery:
+    """Score reviews as they arrive. Stateless; the store keeps what a summary needs."""
+    kept = ["database_id", *by, "ordinal", "precomputed", "sentiment", "categories", *ALL_RATINGS]
+    scored = score_reviews(reviews, scorer).select(*kept)
+    return _into_batch_folders(scored, store, checkpoint, "append")
+
+
+def latest_summary(spark: SparkSession, store: str, by: Sequence[str] = SCOPE) -> DataFrame:
+    """The full summary of stored scored reviews. A review counts once, with its newest delivery,
+    however often it was delivered; running counters (below) count deliveries."""
+    return scope_summary(_newest_deliveries(spark, store), by)
+
+
 def start_counters(
     reviews: DataFrame,
     store: str,
@@ -59,7 +83,8 @@ def start_counters(
     by: Sequence[str] = SCOPE,
     scorer: Scorer = lexicon_scorer,
 ) -> StreamingQuery:
-    """Running counters per scope and category. The state is one row per (scope, category)."""
+    """Running counters per scope and category. The state is one row per (scope, category), so every
+    delivery counts: for sources that deliver each review once."""
     measures = scope_measures(score_reviews(reviews, scorer), by)
     return _into_batch_folders(measures, store, checkpoint, "update")
 
