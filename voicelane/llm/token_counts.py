@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Lengths of a block.
-BLOCK = 1_024
+BLOCK = 128
 
 
 def histogram(lengths: DataFrame, by: list[str] | None = None, length: str = "n_tokens") -> DataFrame:
