@@ -26,7 +26,7 @@ from voicelane.llm import common
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS, EXACT = 80, 1e-10
 #: Average documents of a block whose rates are rounded together.
-BLOCK_DOCUMENTS = 4_096
+BLOCK_DOCUMENTS = 512
 
 
 def words(text: Column) -> Column:
