@@ -164,10 +164,12 @@ def balanced(docs: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
     rate = rate.otherwise(F.least(F.exp(F.col("tilt") * F.col("size") / F.col("scale")), F.lit(float(most))))
     # One row per source; the planner broadcasts it below its size limit, else splits the hot source.
     rated = some.join(found.join(blocks, "key"), "key").select(
-        "doc_id", "hash", "size", "key", rate.alias("rate"), F.pmod("hash", F.col("_blocks")).alias("block")
+        "doc_id", "hash", "size", "key", rate.alias("rate"), F.pmod("hash", F.col("_blocks")).alias("_block")
     )
+    # One value for source and block: rows that the join has dealt by source are dealt anew.
+    rated = rated.withColumn("block", F.concat_ws(":", F.col("_block").cast("string"), "key")).drop("_block")
     schema = "doc_id bigint, hash bigint, size bigint, key string, copies bigint"
-    taken = rated.groupBy("key", "block").applyInPandas(_rounded(most), schema)
+    taken = rated.groupBy("block").applyInPandas(_rounded(most), schema)
     none = narrow.filter("size = 0").select("doc_id", "hash", "size", "key", F.lit(0).cast("bigint").alias("copies"))
     return taken.unionByName(none)
 
