@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from voicelane.operators.language import language_profile
 
 FOLDER = "/root/testdata/sf0.001"
 LAZY = sorted(set(entry.queries()) - {"train_eval", "stream_enrich", "stream_scope_summary", "stream_latest_summary"})
@@ -32,8 +33,12 @@ def test_summary_counts_before_it_shuffles(spark):
 
 
 def test_rankings_limit_groups_before_the_shuffle(spark):
-    for name in ("top_categories", "praise_complaints", "lang_profile"):
+    for name in ("top_categories", "praise_complaints"):
         assert "WindowGroupLimit" in plan(spark, name)
+    # A profile keeps all grams, unless the caller limits them.
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    limited = language_profile(documents, grams=100)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in limited
 
 
 def test_only_needed_columns_are_read(spark):
