@@ -246,9 +246,11 @@ def _long(number: int) -> str:
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """Pairs ``(u, v)`` of nodes whose fingerprints differ in at most ``distance`` bits, each once.
 
-    ``fps`` has one row per node: ``node``, ``fp``.
+    ``fps`` has one row per node: ``node``, ``fp``. With a column ``root``, only pairs of different
+    roots: where components are wanted and some are known, what lies inside one tells nothing new.
     """
-    parts, carried = planned(fps, distance), ["node", "fp"]
+    known = ["root"] if "root" in fps.columns else []
+    parts, carried = planned(fps, distance), ["node", "fp", *known]
 
     def filed(prefix: str, near: bool) -> DataFrame:
         signatures = []
@@ -260,7 +262,8 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
         return rows.select("_s.part", "_s.key", *[F.col(c).alias(f"{prefix}_{c}") for c in carried])
 
     differing = "a_fp ^ b_fp"
-    rules = ["a_fp <= b_fp", "a_node <> b_node", f"bit_count({differing}) <= {distance}"]
+    rules = ["a_fp <= b_fp", "a_node <> b_node", *[f"a_{c} <> b_{c}" for c in known]]
+    rules.append(f"bit_count({differing}) <= {distance}")
     for number, part in enumerate(parts[:-1]):  # only in the first part that finds the pair
         near = f"bit_count(({differing}) & {_long(part.mask)}) <= {part.threshold}"
         rules.append(f"NOT (part > {number} AND {near})")
@@ -268,13 +271,33 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return found.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
 
 
-def linked(known: DataFrame, distance: int, verified=None) -> DataFrame:
+def to_leaders(nodes: DataFrame, words: int) -> DataFrame:
+    """Pairs ``(u, v)`` of a node and the smallest one that has the same 21 bits somewhere in ``more``:
+    at most one per node and place, so a large group of near copies gives a few pairs per member."""
+    places = [(w, s) for w in range(words - 1) for s in (0, 21, 42)]
+    keys = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("place"),
+                F.shiftrightunsigned(F.get("more", F.lit(w)), s).bitwiseAND(F.lit((1 << 21) - 1)).alias("bits"),
+            )
+            for i, (w, s) in enumerate(places)
+        ]
+    )
+    rows = nodes.select("node", F.explode(keys).alias("_k")).select("node", "_k.place", "_k.bits")
+    least = rows.groupBy("place", "bits").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(least, ["place", "bits"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def linked(known: DataFrame, distance: int, verified=None, words: int = 1) -> DataFrame:
     """``known`` (``doc_id``, ``fp`` and perhaps ``more``; it is read more than once) with
     ``component_id``: the smallest id that links lead to, its own included.
 
     Equal fingerprints become one node before anything is compared, so copies cost one row per task.
     ``verified`` may take links away: it gets the nodes (``node``, ``_least``: their smallest id,
-    ``more``) and the links.
+    ``more``) and the links. Then links to leaders come first, and the search for all others leaves
+    out pairs that these have connected: components are the same, and a large group of near copies
+    does not give all its pairs.
     """
     spark = known.sparkSession
     key = [c for c in ("fp", "more") if c in known.columns]
@@ -283,8 +306,14 @@ def linked(known: DataFrame, distance: int, verified=None) -> DataFrame:
     if nodes.isEmpty():
         none = spark.createDataFrame([], nodes.select(*key, F.col("_least").alias("component_id")).schema)
         return known.join(none, key, "left")
-    pairs = links(nodes, distance)
-    roots = common.components(verified(nodes, common.written(pairs, "candidates")) if verified else pairs)
+    if verified is None:
+        roots = common.components(links(nodes, distance))
+    else:
+        first = common.written(verified(nodes, to_leaders(nodes, words)), "leader-links")
+        rooted = nodes.join(common.components(first), "node", "left")
+        rooted = common.written(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
+        second = verified(nodes, common.written(links(rooted, distance), "candidates"))
+        roots = common.components(first.unionByName(second))
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = of_node.join(roots.select(F.col("root")).distinct(), "root", "left_semi")
     least = joined.groupBy("root").agg(F.min("_least").alias("_of_root"))
@@ -358,6 +387,6 @@ def similar_kept(
         jaccard = same / (F.size("a") + F.size("b") - same)
         return pairs.join(a, "u").join(b, "v").filter(jaccard >= similarity).select("u", "v")
 
-    groups = linked(known, distance, verified)
+    groups = linked(known, distance, verified, words)
     dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped.distinct(), F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
