@@ -62,6 +62,24 @@ def test_single_language_only_where_changing_cannot_pay():
     assert 0 < singles < 300
 
 
+def test_two_other_languages_can_share_a_text():
+    """One change between two others has two leads against it."""
+    assert langid._single(np.array([[0.0, -100.0, -10.0], [-100.0, 0.0, -10.0]])) is None
+    rng = np.random.default_rng(3)
+    singles = 0
+    for _ in range(5_000):
+        n = rng.integers(2, 11)
+        cut = rng.integers(1, n)
+        scores = rng.normal(size=(n, 3)) * 3
+        scores[:cut] += rng.normal(size=3) * 6
+        scores[cut:] += rng.normal(size=3) * 6
+        label = langid._single(scores)
+        if label is not None:
+            singles += 1
+            assert (langid.viterbi(scores) == label).all()
+    assert 500 < singles < 5_000
+
+
 def test_edge_documents(spark, model):
     docs = cases.documents(spark, extra={"lang_pred": "1", "SCORE": "2", "spans": "3"})
     rows = langid.predict(docs, model).collect()

@@ -4,8 +4,8 @@ Words are runs of letters. The script of a word (by code point ranges) leaves th
 written in it; each of them gives the word the sum of log probabilities of its letter trigrams. The
 best labelling of all words of a text, with a penalty for every change of language between two words,
 is found by Viterbi's algorithm; runs of one label are the spans. Where no other language leads by
-the penalty over any stretch of words, changing cannot pay, and the single best language is the
-answer without going through the words.
+the penalty over any stretch of words, nor others over a beginning and an end together, changing
+cannot pay, and the single best language is the answer without going through the words.
 
 A model is counted from labelled texts: trigrams per language, hashed into a fixed number of cells.
 """
@@ -24,6 +24,8 @@ from voicelane.llm import common
 CELLS = 1 << 16
 #: Log probability that a change of language costs; and that a word not in its script costs.
 SWITCH, FOREIGN = 15.0, 30.0
+#: Sums that are this near to the penalty are left to Viterbi's algorithm.
+ROUNDING = 1e-6
 #: A script belongs to a language if it has this share of its letters.
 OF_SCRIPT = 0.01
 #: Scores (words of a batch times languages) that are in memory at once.
@@ -139,12 +141,16 @@ def _word_scores(found: dict, weights: np.ndarray, written_in: np.ndarray) -> np
 
 
 def _single(scores: np.ndarray) -> int | None:
-    """The only language of a text, if no change between languages can pay."""
+    """The only language of a text, if no change between languages can pay.
+
+    With c changes, other languages have at most a beginning, an end and c - 1 stretches between them.
+    """
     best = int(scores.sum(axis=0).argmax())
     lead = np.cumsum(scores - scores[:, [best]], axis=0)
-    lowest = np.minimum(np.minimum.accumulate(lead, axis=0) - 0.0, 0.0)
-    before = np.vstack([np.zeros((1, lead.shape[1])), lowest[:-1]])
-    return best if (lead - before).max() < SWITCH else None
+    until = np.vstack([np.zeros((1, lead.shape[1])), lead[:-1]])
+    stretch = (lead - np.minimum.accumulate(until, axis=0)).max()
+    ends = max(lead.max(), 0.0) + max((lead[-1] - until).max(), 0.0)
+    return best if max(stretch, ends) < SWITCH - ROUNDING else None
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
