@@ -153,3 +153,36 @@ def test_similar_edge_documents(spark):
     assert {4, 5, 6, None} <= set(kept)  # without words or without id
     assert {1, 2, 3, 12} & set(kept) == {1} and {13, 14} & set(kept) == {13}
     assert {10, 11} & set(kept) == {10}
+
+
+def test_all_similar_pairs_are_found(spark):
+    """Pairs just at the threshold, alone in their group: none stays, nothing else goes."""
+    rng = random.Random(17)
+    rows = []
+    for _ in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 200))]
+        own = list(base)
+        sets = set(shingles(" ".join(base), 5))
+        for at in rng.sample(range(len(own)), len(own)):
+            changed = [*own[:at], f"x{at}", *own[at + 1 :]]
+            now = set(shingles(" ".join(changed), 5))
+            if len(sets & now) < 0.8 * len(sets | now):
+                break
+            own = changed
+        rows += [(len(rows), " ".join(base), "en", "s", 0), (len(rows) + 1, " ".join(own), "en", "s", 0)]
+        if len(own) == len(base) and rng.random() < 0.5:  # the first that is too different
+            rows.append((len(rows), " ".join(changed), "en", "s", 0))
+    rows += [(len(rows) + i, f"a very common line of all these {i % 40} x{i} y{i}", "en", "s", 0) for i in range(300)]
+    kept = {r["doc_id"] for r in simhash.similar_kept(cases.documents(spark, rows)).collect()}
+    sets = [set(shingles(t, 5)) for _, t, *_ in rows]
+    where = {}
+    for i, own in enumerate(sets):
+        for s in own:
+            where.setdefault(s, []).append(i)
+    pairs = {p for ids in where.values() for p in itertools.combinations(ids, 2)}
+    similar = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    root = list(range(len(rows)))
+    for i, j in similar:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len(similar) >= 300 and kept == set(root)

@@ -12,6 +12,8 @@ fewer, wider parts with larger thresholds, and candidates do not grow with its s
 Each fingerprint is filed under its bits in every part and asks for all values within the threshold.
 Candidates are verified inside the join, which the adaptive planner splits where a value is frequent;
 only true links leave it, each once.
+
+``similar_kept`` links by Jaccard similarity instead and finds all pairs: see "similar sets".
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from voicelane.llm import common
 
 SEED = 42
 BITS, BLOCK = 64, 8
+#: Documents that show which shingles are frequent, and how many of these are told apart. Both only
+#: change the work of :func:`similar_kept`, not its result.
+SAMPLE, FREQUENT = 2_048, 1 << 16
 #: Costs for the choice of parts: a signature that is sent and sorted, a candidate that is compared.
 ROW_COST, CANDIDATE_COST = 1.0, 0.004
 
@@ -52,14 +57,6 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Further hashes from the first, for fingerprints of more than 64 bits."""
-    x = hashes + np.uint64((word * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each run of hashes (``sizes`` of them, none gives 0) the bits set in over half of it.
 
@@ -86,30 +83,19 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprinted(
-    docs: DataFrame, text: str = "text", width: int = 3, distinct: bool = False, words: int = 1
-) -> DataFrame:
-    """``docs`` with ``fp`` (the fingerprint as a long), ``shingles`` (their number) and, for ``words``
-    over 1, ``more`` (further words of the fingerprint).
+def fingerprinted(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
+    """``docs`` with ``fp`` (the fingerprint as a long) and ``shingles`` (their number).
 
-    Over all shingles with their repeats, or over ``distinct`` ones. Null texts have no words;
-    fingerprints without words are 0.
+    Over all shingles with their repeats. Null texts have no words; fingerprints without words are 0.
     """
 
     def rows(texts):
         found = [shingle_hashes(t or "", width) for t in texts]
-        if distinct:
-            found = [np.unique(h) for h in found]
         sizes = np.array([len(h) for h in found], dtype=np.int64)
         flat = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-        made = [majority(flat, sizes).view(np.int64), sizes]
-        if words > 1:
-            more = [majority(_mixed(flat, w), sizes).view(np.int64) for w in range(1, words)]
-            made.append(np.stack(more, axis=1).tolist())
-        return made
+        return [majority(flat, sizes).view(np.int64), sizes]
 
-    outputs = "fp bigint, shingles bigint" + ", more array<bigint>" * (words > 1)
-    return common.extended(docs, {text: F.col(f"`{text}`")}, outputs, rows)
+    return common.extended(docs, {text: F.col(f"`{text}`")}, "fp bigint, shingles bigint", rows)
 
 
 # -- parts and thresholds -------------------------------------------------------------------------
@@ -246,11 +232,9 @@ def _long(number: int) -> str:
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """Pairs ``(u, v)`` of nodes whose fingerprints differ in at most ``distance`` bits, each once.
 
-    ``fps`` has one row per node: ``node``, ``fp``. With a column ``root``, only pairs of different
-    roots: where components are wanted and some are known, what lies inside one tells nothing new.
+    ``fps`` has one row per node: ``node``, ``fp``.
     """
-    known = ["root"] if "root" in fps.columns else []
-    parts, carried = planned(fps, distance), ["node", "fp", *known]
+    parts, carried = planned(fps, distance), ["node", "fp"]
 
     def filed(prefix: str, near: bool) -> DataFrame:
         signatures = []
@@ -262,8 +246,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
         return rows.select("_s.part", "_s.key", *[F.col(c).alias(f"{prefix}_{c}") for c in carried])
 
     differing = "a_fp ^ b_fp"
-    rules = ["a_fp <= b_fp", "a_node <> b_node", *[f"a_{c} <> b_{c}" for c in known]]
-    rules.append(f"bit_count({differing}) <= {distance}")
+    rules = ["a_fp <= b_fp", "a_node <> b_node", f"bit_count({differing}) <= {distance}"]
     for number, part in enumerate(parts[:-1]):  # only in the first part that finds the pair
         near = f"bit_count(({differing}) & {_long(part.mask)}) <= {part.threshold}"
         rules.append(f"NOT (part > {number} AND {near})")
@@ -271,54 +254,27 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return found.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
 
 
-def to_leaders(nodes: DataFrame, words: int) -> DataFrame:
-    """Pairs ``(u, v)`` of a node and the smallest one that has the same 21 bits somewhere in ``more``:
-    at most one per node and place, so a large group of near copies gives a few pairs per member."""
-    places = [(w, s) for w in range(words - 1) for s in (0, 21, 42)]
-    keys = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("place"),
-                F.shiftrightunsigned(F.get("more", F.lit(w)), s).bitwiseAND(F.lit((1 << 21) - 1)).alias("bits"),
-            )
-            for i, (w, s) in enumerate(places)
-        ]
-    )
-    rows = nodes.select("node", F.explode(keys).alias("_k")).select("node", "_k.place", "_k.bits")
-    least = rows.groupBy("place", "bits").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(least, ["place", "bits"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
-
-
-def linked(known: DataFrame, distance: int, verified=None, words: int = 1) -> DataFrame:
-    """``known`` (``doc_id``, ``fp`` and perhaps ``more``; it is read more than once) with
-    ``component_id``: the smallest id that links lead to, its own included.
+def linked(known: DataFrame, distance: int) -> DataFrame:
+    """``known`` (``doc_id``, ``fp``; it is read more than once) with ``component_id``: the smallest id
+    that links lead to, its own included.
 
     Equal fingerprints become one node before anything is compared, so copies cost one row per task.
-    ``verified`` may take links away: it gets the nodes (``node``, ``_least``: their smallest id,
-    ``more``) and the links. Then links to leaders come first, and the search for all others leaves
-    out pairs that these have connected: components are the same, and a large group of near copies
-    does not give all its pairs.
     """
-    spark = known.sparkSession
-    key = [c for c in ("fp", "more") if c in known.columns]
-    nodes = known.groupBy(*key).agg(F.min("doc_id").alias("_least"))
+    nodes = known.groupBy("fp").agg(F.min("doc_id").alias("_least"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     if nodes.isEmpty():
-        none = spark.createDataFrame([], nodes.select(*key, F.col("_least").alias("component_id")).schema)
-        return known.join(none, key, "left")
-    if verified is None:
-        roots = common.components(links(nodes, distance))
-    else:
-        first = common.written(verified(nodes, to_leaders(nodes, words)), "leader-links")
-        rooted = nodes.join(common.components(first), "node", "left")
-        rooted = common.written(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
-        second = verified(nodes, common.written(links(rooted, distance), "candidates"))
-        roots = common.components(first.unionByName(second))
+        none = nodes.select("fp", F.col("_least").alias("component_id")).limit(0)
+        return known.join(none, "fp", "left")
+    return _named(known, nodes, "fp", common.components(links(nodes, distance)))
+
+
+def _named(known: DataFrame, nodes: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """``known`` with the smallest ``_least`` of all nodes in the component of its own as ``component_id``."""
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = of_node.join(roots.select(F.col("root")).distinct(), "root", "left_semi")
     least = joined.groupBy("root").agg(F.min("_least").alias("_of_root"))
     final = of_node.join(least, "root", "left").select(
-        *key, F.coalesce("_of_root", "_least").alias("component_id")
+        key, F.coalesce("_of_root", "_least").alias("component_id")
     )
     return known.join(final, key)
 
@@ -336,57 +292,166 @@ def near_duplicates(
     return linked(known, distance).select("doc_id", "fp", "component_id")
 
 
+# -- similar sets ---------------------------------------------------------------------------------
+#
+# All pairs with a Jaccard similarity of at least t, by prefixes. Let all sets be in one order (any
+# is right; shingles that are frequent in a sample come last, so few sets meet in what comes first).
+# A set of n similar to one that is not larger shares at least t n with it, and 2 t / (1 + t) n with
+# one that is not smaller; so the first n - t n + 1 of the larger and the first n - 2 t / (1 + t) n + 1
+# of the smaller have a shingle in common. Pairs that meet are left out only by bounds that hold for
+# every similar pair: sizes, and the bits in which the parities of hash values differ, which are at
+# most the shingles that only one of both has.
+
+
+def _digest(own: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def _reach(size: int, share: float) -> int:
+    """How many shingles come first, where ``share`` of the set is in common."""
+    return size - math.ceil(share * size - 1e-9) + 1 if size else 0
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in three documents of a sample, sorted, and in how many: the most frequent."""
+    every = max(1, docs.count() // SAMPLE)
+    rows = _shingled(docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), width)
+    counted = rows.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+    most = counted.filter("n > 2").orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
+    values, counts = most["hash"].to_numpy().view(np.uint64), most["n"].to_numpy()
+    order = np.argsort(values)
+    return values[order], counts[order]
+
+
+def _prefixed(docs: DataFrame, similarity: float, width: int, words: int) -> DataFrame:
+    """``docs`` (``text``) with ``size`` of the set of shingles, ``key`` (a digest of the set), ``marks``
+    (the parity of its hashes by their last bits) and ``firsts`` (what comes first)."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))  # at most 1 MB
+
+    def rows(texts):
+        values, counts = frequent.value
+        made = [], [], [], []
+        for t in texts:
+            own = np.unique(shingle_hashes(t or "", width))
+            seen = np.zeros(len(own), dtype=np.int64)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                seen = np.where(values[at] == own, counts[at], 0)
+            firsts = own[np.argsort(seen, kind="stable")[: _reach(len(own), similarity)]]
+            bits = np.bincount((own % np.uint64(BITS * words)).astype(np.int64), minlength=BITS * words) & 1
+            marks = np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
+            for column, value in zip(made, (len(own), _digest(own), marks, firsts.view(np.int64)), strict=True):
+                column.append(value)
+        return made
+
+    outputs = "size int, key binary, marks array<bigint>, firsts array<bigint>"
+    return common.extended(docs, {"text": F.col("text")}, outputs, rows).drop("text")
+
+
 def _shingled(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` (``text``) with ``hashes``: the distinct shingles of the whole text."""
+    """``docs`` (``text``) with ``hashes``, the distinct shingles of the whole text, and their ``key``."""
 
     def rows(texts):
-        return [[np.unique(shingle_hashes(t or "", width)).view(np.int64) for t in texts]]
+        found = [np.unique(shingle_hashes(t or "", width)) for t in texts]
+        return [[h.view(np.int64) for h in found], [_digest(h) for h in found]]
 
-    return common.extended(docs, {"text": F.col("text")}, "hashes array<bigint>", rows).drop("text")
+    return common.extended(docs, {"text": F.col("text")}, "hashes array<bigint>, key binary", rows).drop("text")
+
+
+def _possible(similarity: float, words: int) -> str:
+    """What holds for ``a_size``, ``a_marks``, ``b_size``, ``b_marks`` of similar sets."""
+    apart = " + ".join(f"bit_count(a_marks[{i}] ^ b_marks[{i}])" for i in range(words))
+    most = (1 - similarity) / (1 + similarity)
+    sizes = f"least(a_size, b_size) >= {similarity!r}D * greatest(a_size, b_size) - 1e-6D"
+    return f"{sizes} AND {apart} <= {most!r}D * (a_size + b_size) + 1e-6D"
+
+
+def _ends(frame: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
+    return frame.select("hash", *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+
+
+def similar_links(nodes: DataFrame, similarity: float, words: int, verified) -> DataFrame:
+    """Similar pairs ``(u, v)`` that give the same components as all of them.
+
+    ``nodes``: ``node``, ``size``, ``marks``, ``firsts``; ``verified`` writes the similar ones of pairs.
+    First each node is compared with one for each shingle it has among its first ones, a node of the
+    smallest component so far, as long as that gives a tenth of the links of the round before; then
+    with all others that these links have not connected already. So a large group of near copies does
+    not give all its pairs.
+    """
+    rows = nodes.select("node", F.posexplode("firsts").alias("at", "hash"))
+    shared = rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    unsettled = common.written(rows.join(shared, "hash").withColumn("root", F.col("node")), "met")
+    facts, links, count, before = nodes.select("node", "size", "marks"), None, 1, 0
+    while count and count * 10 >= before:
+        least = unsettled.groupBy("hash").agg(F.min("root").alias("_a"), F.min_by("node", "root").alias("v"))
+        pairs = unsettled.join(least, "hash").filter("root <> _a").select(F.col("node").alias("u"), "v").distinct()
+        for end, prefix in (("u", "a"), ("v", "b")):
+            pairs = pairs.join(facts.toDF(end, f"{prefix}_size", f"{prefix}_marks"), end)
+        new = verified(pairs.filter(_possible(similarity, words)).select("u", "v"))
+        count, before = new.count(), count
+        links = new if links is None else links.unionByName(new)
+        rooted = unsettled.drop("root").join(common.components(links), "node", "left")
+        rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+        several = rooted.groupBy("hash").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b")
+        then = common.written(rooted.join(several.select("hash"), "hash"), "met")
+        common.discard(unsettled)
+        unsettled = then
+    unsettled = unsettled.join(facts, "node")
+    columns = ["node", "root", "size", "marks", "at"]
+    share = 2 * similarity / (1 + similarity)
+    short = f"b_at < b_size - ceil({share!r}D * b_size - 1e-9D) + 1"
+    larger = "(b_size < a_size OR b_size = a_size AND b_node < a_node)"
+    found = _ends(unsettled, "a", columns).join(_ends(unsettled, "b", columns).filter(short), "hash")
+    found = found.filter(f"{larger} AND a_root <> b_root AND {_possible(similarity, words)}")
+    second = verified(found.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct())
+    return links.unionByName(second)
 
 
 def similar_kept(
     docs: DataFrame,
     similarity: float = 0.8,
     width: int = 5,
-    distance: int = 12,
     words: int = 8,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """``docs`` less all but one document (the smallest id) of each group of near-duplicates: those
-    with a Jaccard similarity of at least ``similarity`` on shingles of ``width`` words.
+    with a Jaccard similarity of at least ``similarity`` (over 0) on shingles of ``width`` words.
 
-    Candidates differ in at most ``distance`` of the first 64 fingerprint bits, and in the further
-    ``words`` in no more bits than two sets of that similarity do on average and two standard
-    deviations; their shingles are then compared exactly. Documents without words are no
-    near-duplicates of anything; rows without id stay, as do all rows that repeat an id that stays.
+    All pairs are found; ``words`` (64 bits of parities each) only saves comparisons. Equal sets
+    become one node before anything is compared. Documents without words are no near-duplicates of
+    anything; rows without id stay, as do all rows that repeat an id that stays.
     """
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    known = fingerprinted(narrow, width=width, distinct=True, words=words).filter("shingles > 0")
-    known = common.written(known.select("doc_id", "fp", "more"), "documents-fp")
-    bits, chance = BITS * (words - 1), math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = round(bits * chance + 2 * math.sqrt(bits * chance * (1 - chance)))
-
-    def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-        more = nodes.select("node", "more")
-        apart = " + ".join(f"bit_count(a[{i}] ^ b[{i}])" for i in range(words - 1))
-        near = (
-            pairs.join(more.select(F.col("node").alias("u"), F.col("more").alias("a")), "u")
-            .join(more.select(F.col("node").alias("v"), F.col("more").alias("b")), "v")
-            .filter(f"{apart} <= {most}")
-        )
-        pairs = common.written(near.select("u", "v"), "near-pairs")
+    narrow = narrow.filter("doc_id IS NOT NULL")
+    known = _prefixed(narrow, similarity, width, words).filter("size > 0")
+    known = common.written(known, "documents-firsts")
+    nodes = known.groupBy("key", "size", "marks", "firsts").agg(F.min("doc_id").alias("_least"))
+    nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
+    keys = common.written(known.select("doc_id", "key"), "documents-sets")
+    common.discard(known)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = common.written(pairs, "near-pairs")
         ends = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
-        asked = nodes.join(ends, "node").select("node", F.col("_least").alias("doc_id"))
-        texts = narrow.join(asked, "doc_id").dropDuplicates(["node"])
-        sets = common.written(_shingled(texts.select("node", "text"), width), "shingles")
+        asked = nodes.join(ends, "node").select("node", F.col("_least").alias("doc_id"), F.col("key").alias("_key"))
+        # Rows that repeat an id can have other texts.
+        sets = _shingled(narrow.join(asked, "doc_id").select("node", "_key", "text"), width)
+        sets = sets.filter("key = _key").select("node", "hashes").dropDuplicates(["node"])
+        sets = common.written(sets, "shingles")
         a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
         b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
         same = F.size(F.array_intersect("a", "b"))
         jaccard = same / (F.size("a") + F.size("b") - same)
-        return pairs.join(a, "u").join(b, "v").filter(jaccard >= similarity).select("u", "v")
+        similar = pairs.join(a, "u").join(b, "v").filter(jaccard >= similarity).select("u", "v")
+        similar = common.written(similar, "similar")
+        common.discard(sets)
+        return similar
 
-    groups = linked(known, distance, verified, words)
+    roots = common.components(similar_links(nodes, similarity, words, verified))
+    groups = _named(keys, nodes.select("node", "key", "_least"), "key", roots)
     dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped.distinct(), F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
