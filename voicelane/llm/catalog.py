@@ -11,12 +11,15 @@ from voicelane.llm import (
     exact,
     langid,
     mixing,
+    periodic,
     pieces,
+    quality,
     shards,
     simhash,
     token_counts,
     token_files,
     url_rules,
+    whitening,
 )
 from voicelane.llm.common import new_path, table, written
 from voicelane.plans.registry import Query
@@ -158,3 +161,93 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def _planted(text: F.Column, doc_id: F.Column) -> F.Column:
+    """The text with a periodic tail in one document of ten: for ``h = crc32(doc_id)`` with ``h % 10 = 0``,
+    word ``i >= a`` becomes word ``a + (i - a) % p``; ``a = g % n``, ``p = 1 + (n - a) / (3 + g % 8)``,
+    ``g = h / 10`` (integer division). Words are joined by one space, which splits into the same words."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words).cast("bigint")
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10).cast("bigint")
+    a = F.pmod(g, F.greatest(n, F.lit(1)))
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
+    moved = F.transform(
+        words, lambda w, i: F.when(i >= a, F.element_at(words, (a + F.pmod(i - a, p) + 1).cast("int"))).otherwise(w)
+    )
+    return F.when(F.coalesce(F.pmod(h, F.lit(10)) == 0, F.lit(False)) & (n > 0), F.array_join(moved, " ")).otherwise(
+        text
+    )
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every whole text (a tenth of them given a periodic tail first), and the collapsed text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.periodic_runs(docs.select("doc_id", _planted(F.col("text"), F.col("doc_id")).alias("text")))
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r.length.alias("l"), (-r.start).alias("s"), (-r.period).alias("q")))
+    )
+    listed = F.concat_ws(
+        "", F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period))
+    )
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-best.s).alias("start"),
+        best.l.alias("length"),
+        (-best.q).alias("period"),
+        F.floor(1000 * best.l / -best.q).cast("bigint").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened top 16 components of every whole, finite embedding; each distinct vector fits once."""
+    return whitening.whitened(table(spark, folder, "embeddings"), components=16, weighted=False)
+
+
+@query(
+    "op13_quality_rules",
+    r"""
+    WITH w AS (
+      SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+      FROM documents),
+    win AS (
+      SELECT rid, j, array_to_string(words[j + 1:j + 8], ' ') AS s
+      FROM (SELECT rid, words, unnest(range(0, len(words) - 7)) AS j FROM w WHERE len(words) >= 8) x),
+    rep AS (
+      SELECT rid, j FROM (SELECT rid, j, count(*) OVER (PARTITION BY rid, s) AS c FROM win) y WHERE c >= 2),
+    cov AS (
+      SELECT rid, count(DISTINCT j + k) AS n_repeat_words FROM rep, range(0, 8) r(k) GROUP BY rid),
+    b AS (
+      SELECT doc_id, len(words)::BIGINT AS n_words,
+        coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(cov.n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        len(lines) AS n_lines,
+        len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[•*-]'))) AS bullets,
+        len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ellipses,
+        len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS lettered
+      FROM w LEFT JOIN cov ON w.rid = cov.rid)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+      NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words
+        OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_symbols > n_words
+        OR 10 * n_dup_lines > 3 * n_lines OR 10 * bullets > 9 * n_lines OR 10 * ellipses > 3 * n_lines
+        OR 10 * lettered < 8 * n_words) AS kept
+    FROM b
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and the cascade's verdict for every whole text."""
+    found = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
