@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voicelane.llm import common, exact, langid, mixing, pieces, simhash
 
@@ -16,13 +17,24 @@ ORACLE_SQL = None
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WEIGHTS, SHARE, MOST = [3, 1, 2], 1.5, 2.0
+#: The SimHash contract: shingles of three words, links within three differing bits.
+SHINGLE_WORDS, MOST_BITS = 3, 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without any letter go."""
+    """Documents that the language model labels; those it calls ``und`` (null text, no letter) go.
+
+    The model learns from the documents that carry a ``lang``. Without any such document it knows no
+    language, and then only texts without a letter go. The document's columns travel under positional
+    names, so columns of its own called ``score``, ``spans``, ``lang_pred`` or ``_text`` stay untouched."""
     model = langid.train(docs)
-    known = langid.predict(docs.withColumn("_text", docs["text"]), model, text="_text")
-    return known.filter("lang_pred <> 'und'").select(*docs.columns)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    renamed = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").alias("_text")
+    )
+    known = langid.predict(renamed, model, text="_text")
+    kept = known.filter("lang_pred <> 'und'") if model.languages else known.filter(F.col("_text").rlike(r"\p{L}"))
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +43,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on shingles of five words."""
-    return simhash.similar_kept(docs, similarity=0.8, width=5)
+    """One document of each SimHash group stays: the operator of ``op2`` with its contract's shingle
+    length and bit distance; no word-similarity check beside the bits."""
+    return simhash.simhash_kept(docs, distance=MOST_BITS, width=SHINGLE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import collections
-import itertools
 import re
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm import cases
 from tests.llm.test_mixing import water
-from tests.llm.test_simhash import shingles
+from tests.llm.test_simhash import fingerprint
 from voicelane.llm import common
 
 FOLDER = "/root/testdata/sf0.01"
@@ -35,19 +35,26 @@ def test_stages_against_brute_force(spark):
         groups[re.sub(r"[\x20\x09-\x0D]", "", r[1])].append((-len(r[1]), r[0], r))
     expected = sorted(min(g)[2] for g in groups.values())
     assert sorted(exact) == expected
-    # Near-duplicates: what goes has a near-duplicate with a smaller id; pairs that both stay are few.
-    sets = {r[0]: set(shingles(r[1], 5)) for r in expected}
-    kept = {r[0] for r in near}
-    assert set(near) <= set(expected)
-    where = collections.defaultdict(list)
-    for doc, own in sets.items():
-        for s in own:
-            where[s].append(doc)
-    pairs = {p for ids in where.values() if len(ids) < 200 for p in itertools.combinations(sorted(ids), 2)}
-    similar = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    linked = {d for p in similar for d in p}
-    assert {r[0] for r in expected} - kept <= linked
-    assert sum(a in kept and b in kept for a, b in similar) <= max(1, 0.1 * len(similar))
+    # Near-duplicates: SimHash components (3-word shingles, within 3 bits, transitive), smallest id stays.
+    fps = {r[0]: fingerprint(r[1] or "", corpus_pipeline.SHINGLE_WORDS) for r in expected}
+    values = np.array(sorted(set(fps.values())), dtype=np.uint64)
+    parent = list(range(len(values)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(values)):
+        for j in np.flatnonzero(np.bitwise_count(values[i] ^ values[i + 1 :]) <= corpus_pipeline.MOST_BITS):
+            parent[find(i + 1 + int(j))] = find(i)
+    place = {int(v): k for k, v in enumerate(values)}
+    least = {}
+    for doc, fp in fps.items():
+        root = find(place[fp])
+        least[root] = min(least.get(root, doc), doc)
+    assert sorted(near) == sorted(r for r in expected if least[find(place[fps[r[0]]])] == r[0])
     # Mixture: whole rows, near the targets.
     sizes, taken = collections.Counter(), collections.Counter()
     for r in near:
@@ -73,10 +80,13 @@ def columns_of(spark):
 
 def test_edge_documents_pass_every_stage(spark):
     for rows in (cases.DOCS, []):
-        docs = cases.documents(spark, rows, {"fp": "1", "copies": "2", "ids": "3"})
+        extra = {"fp": "1", "copies": "2", "ids": "3", "score": "4", "spans": "5", "lang_pred": "'x'",
+                 "_text": "'t'", "_dropped": "6", "_id": "7", "_copies": "8", "_copy": "9", "_c0": "10"}
+        docs = cases.documents(spark, rows, extra)
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = common.written(stage(spark, docs, FOLDER), name)
             assert out.columns == docs.columns
+            assert all(r["score"] == 4 and r["_text"] == "t" and r["_c0"] == 10 for r in out.collect())
             docs = out
         assert (docs.count() > 0) == bool(rows)
         corpus_pipeline.encoding(spark, docs, FOLDER).collect()
@@ -85,5 +95,13 @@ def test_edge_documents_pass_every_stage(spark):
 def test_registered():
     names = entry.queries()
     numbers = sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n))
-    assert numbers == list(range(1, 11)) and "pipeline" in names
+    assert numbers == list(range(1, 14)) and "pipeline" in names
     assert {"op4_exact_dedup"} <= set(entry.oracle_sql())
+
+
+def test_language_without_labels_drops_only_letterless(spark):
+    rows = [(1, "plain words here", None, "a", 1), (2, "1234 5678", None, "a", 1), (3, None, None, "b", 1),
+            (4, "mots simples", None, "b", 1)]
+    docs = cases.documents(spark, rows)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, FOLDER).collect())
+    assert kept == [1, 4]

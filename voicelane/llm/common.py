@@ -58,6 +58,14 @@ def held(key: tuple, build: Callable):
     return store[key]
 
 
+def fresh(columns: Sequence[str], base: str) -> str:
+    """``base``, with underscores in front until it equals no name of ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def without(frame: DataFrame, names: Sequence[str]) -> DataFrame:
     """The frame less the columns that would clash with the given names (in any case)."""
     taken = {n.lower() for n in names}

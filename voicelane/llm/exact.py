@@ -140,5 +140,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs`` less the rows whose id some equal text's row replaces. Rows without id all stay, as
     nothing names them; rows that repeat an id stand or fall together."""
     found = exact_dedup(docs, doc_id, text)
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
+    gone = common.fresh(docs.columns, "_dropped")
+    dropped = found.filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")

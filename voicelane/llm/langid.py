@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voicelane.llm import common
+from voicelane.llm.common import held, parts
 
 CELLS = 1 << 16
 #: Log probability that a change of language costs; and that a word not in its script costs.
@@ -70,7 +71,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 def _features(texts: list[str]) -> dict:
     """Letters of texts with their trigram cells, and where words and texts begin."""
-    lower, scripts = common.held(("letters",), _letters)
+    lower, scripts = held(("letters",), _letters)
     joined = "\n".join(["", *texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype="<u4")
     letters = lower[points]
@@ -104,7 +105,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def count(batches):
         counts = {}
         for batch in batches:
-            for part in common.parts(batch, [0]):
+            for part in parts(batch, [0]):
                 texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for own in set(langs):
                     found = _features([t for t, x in zip(texts, langs, strict=True) if x == own])
@@ -209,11 +210,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Row by row. Null texts, texts without a letter and a model without languages give ``und``, score
     0 and no spans. Words in a script of no language count for none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 256 KB per language
+    # plain lists and arrays only: a broadcast pickles by name, and executors need not have this package
+    shared = docs.sparkSession.sparkContext.broadcast((list(model.languages), model.weights, model.written_in))
     step = max(1, AT_ONCE // max(1, len(model.languages)))
 
     def rows(texts):
-        own, made, group, size = shared.value, [], [], 0
+        own, made, group, size = Model(*shared.value), [], [], 0
         for t in [*(t or "" for t in texts), None]:
             if t is None or (group and size + len(t) > step):
                 made += _labelled(group, own)

@@ -201,8 +201,11 @@ def mix(
 def mixed(docs: DataFrame, weights: list[float], share: float, most: float, doc_id: str = "doc_id") -> DataFrame:
     """The mix itself: ``docs`` with each row repeated as often as it is taken. Rows that repeat an id
     are taken as often as the one of them that is taken most."""
-    copies = mix(docs, weights, share, most, doc_id).groupBy(F.col("doc_id").alias("_id"))
-    copies = copies.agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(copies, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    key, times = common.fresh(docs.columns, "_id"), common.fresh(docs.columns, "_copies")
+    copies = mix(docs, weights, share, most, doc_id).groupBy(F.col("doc_id").alias(key))
+    copies = copies.agg(F.max("copies").cast("int").alias(times)).filter(F.col(times) > 0)
+    joined = docs.join(copies, F.col(f"`{doc_id}`").eqNullSafe(F.col(key)))
+    repeated = joined.select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(key)
+    )
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

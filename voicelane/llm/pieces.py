@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voicelane.llm import common
+from voicelane.llm.common import held
 
 SPACE = "▁"
 #: Words and pairs of pieces held per worker process: a bound on memory, not on what is encoded.
@@ -197,7 +198,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    return common.held(("pieces", path), lambda: Codec(path))
+    return held(("pieces", path), lambda: Codec(path))
 
 
 def encode(

@@ -292,6 +292,19 @@ def near_duplicates(
     return linked(known, distance).select("doc_id", "fp", "component_id")
 
 
+def simhash_kept(
+    docs: DataFrame, distance: int = 3, width: int = 3, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` less every document whose component (:func:`near_duplicates`: fingerprints of
+    ``width``-word shingles within ``distance`` bits, linked transitively) names a smaller id: one
+    document of each group stays. Rows without id all stay; rows that repeat an id stand or fall
+    together; other columns pass through unchanged."""
+    found = near_duplicates(docs, distance, width, doc_id, text)
+    gone = common.fresh(docs.columns, "_dropped")
+    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
+
+
 # -- similar sets ---------------------------------------------------------------------------------
 #
 # All pairs with a Jaccard similarity of at least t, by prefixes. Let all sets be in one order (any
@@ -453,5 +466,6 @@ def similar_kept(
 
     roots = common.components(similar_links(nodes, similarity, words, verified))
     groups = _named(keys, nodes.select("node", "key", "_least"), "key", roots)
-    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped.distinct(), F.col(f"`{doc_id}`") == F.col("_dropped"), "left_anti")
+    gone = common.fresh(docs.columns, "_dropped")
+    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone))
+    return docs.join(dropped.distinct(), F.col(f"`{doc_id}`") == F.col(gone), "left_anti")

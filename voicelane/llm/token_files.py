@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voicelane.llm import common
+from voicelane.llm.common import held, parts
 
 MAGIC, FOOTER = b"VLPLANE1", "<8Q8s"  # struct format
 BLOCK_IDS, LEVEL = 1 << 16, 3
@@ -71,7 +72,7 @@ def word_codec(path: str) -> WordCodec:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-    return common.held(("words", path), lambda: WordCodec(path))
+    return held(("words", path), lambda: WordCodec(path))
 
 
 # -- planes ---------------------------------------------------------------------------------------
@@ -233,7 +234,7 @@ def write(
         store, where = _store(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
         for batch in batches:
-            for piece in common.parts(batch, [1]):
+            for piece in parts(batch, [1]):
                 if writer is None and piece.num_rows:
                     stream = store.open_output_stream(f"{where}/{name}")
                     writer = Writer(stream, kind)
