@@ -21,7 +21,7 @@ from voicelane.llm import (
     url_rules,
     whitening,
 )
-from voicelane.llm.common import new_path, table, written
+from voicelane.llm.common import bound, new_path, table, written
 from voicelane.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -166,19 +166,23 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def _planted(text: F.Column, doc_id: F.Column) -> F.Column:
     """The text with a periodic tail in one document of ten: for ``h = crc32(doc_id)`` with ``h % 10 = 0``,
     word ``i >= a`` becomes word ``a + (i - a) % p``; ``a = g % n``, ``p = 1 + (n - a) / (3 + g % 8)``,
-    ``g = h / 10`` (integer division). Words are joined by one space, which splits into the same words."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words).cast("bigint")
+    ``g = h / 10`` (integer division). Words are joined by one space, which splits into the same words.
+    The word array is bound once per row, so the split is not repeated for each word."""
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10).cast("bigint")
-    a = F.pmod(g, F.greatest(n, F.lit(1)))
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
-    moved = F.transform(
-        words, lambda w, i: F.when(i >= a, F.element_at(words, (a + F.pmod(i - a, p) + 1).cast("int"))).otherwise(w)
-    )
-    return F.when(F.coalesce(F.pmod(h, F.lit(10)) == 0, F.lit(False)) & (n > 0), F.array_join(moved, " ")).otherwise(
-        text
-    )
+
+    def tail(words: F.Column) -> F.Column:
+        n = F.size(words).cast("bigint")
+        a = F.pmod(g, F.greatest(n, F.lit(1)))
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
+        moved = F.transform(
+            words,
+            lambda w, i: F.when(i >= a, F.element_at(words, (a + F.pmod(i - a, p) + 1).cast("int"))).otherwise(w),
+        )
+        return F.when(F.coalesce(F.pmod(h, F.lit(10)) == 0, F.lit(False)) & (n > 0), F.array_join(moved, " "))
+
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.coalesce(bound(words, tail), text)
 
 
 @query("op11_periodic_runs")

@@ -66,6 +66,13 @@ def fresh(columns: Sequence[str], base: str) -> str:
     return base
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row: it is the lambda variable of a one-element
+    ``transform``, so no optimizer rewrite copies it into lambdas inside ``body`` (where it would be
+    computed again for every element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def without(frame: DataFrame, names: Sequence[str]) -> DataFrame:
     """The frame less the columns that would clash with the given names (in any case)."""
     taken = {n.lower() for n in names}
