@@ -120,3 +120,27 @@ def test_periods_that_repeat_a_block_inside(copies):
     period = block * copies + [rng.randrange(1000, 2000) for _ in range(20)]
     ids = [rng.randrange(3000, 4000) for _ in range(7)] + period * 3 + period[:50]
     assert periodic.runs_of(np.array(ids, dtype=np.int64)) == brute_runs(ids)
+
+
+@pytest.mark.parametrize("d, times, extra", [(2, 101, 1), (3, 90, 2), (9, 100, 4)])
+@pytest.mark.parametrize("exponent", [2.0, 2.3])
+def test_periods_that_repeat_a_small_period(d, times, extra, exponent):
+    """Periods ``V V ... V V'``: all contexts inside repeat more often than any fixed number of members."""
+    rng = random.Random(d)
+    small = [rng.randrange(100 * i, 100 * i + 100) for i in range(d)]
+    period = small * times + small[:extra]
+    ids = [9001, 9002] + [period[i % len(period)] for i in range(int(len(period) * exponent))] + [9003]
+    found = periodic.runs_of(np.array(ids, dtype=np.int64))
+    assert (2, int(len(period) * exponent), len(period)) in [(s, min(l, len(ids) - 3), q) for s, l, q in found]
+    assert found == brute_runs(ids)
+
+
+def test_nested_and_adjoining_runs_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(30):
+        k, ids = rng.choice([2, 3, 50]), []
+        for _ in range(rng.randrange(1, 4)):
+            ids = ids[:60] * rng.randrange(1, 7) + [rng.randrange(k) for _ in range(rng.randrange(4))]
+            ids = ids * rng.randrange(1, 4) + ids[: rng.randrange(len(ids) + 1)]
+        for least in (2, 12, 40):
+            assert periodic.runs_of(np.array(ids, dtype=np.int64), least) == brute_runs(ids, least)
