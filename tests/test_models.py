@@ -157,6 +157,23 @@ def test_whole_vocabulary_and_both_ways_to_look_up(spark):
         assert max(len(r["input_ids"]) for r in carried) == 512
 
 
+def test_only_tokens_that_do_not_travel_are_joined(spark, monkeypatch):
+    """Of a vocabulary too large to travel, the frequent tokens do; texts that repeat are no trouble."""
+    texts = ["a a a b", "a b rare " + "a " * 40, "", None, "seldom a b", "seldom a b", "ü rare x"]
+    rows = [(i, t, "a b") for i, t in enumerate(texts)] + [(90, "a b", "once"), (None, "once", None)]
+    examples = spark.createDataFrame(rows, "id int, input string, output string").repartition(3)
+    vocab = encoding.vocabulary(examples, ["input", "output"])
+    asked, real = [], encoding._asked
+    monkeypatch.setattr(encoding, "_asked", lambda *args: asked.append(real(*args)) or asked[-1])
+    for known in (vocab, vocab.filter("token <> 'once'")):
+        expected = encoding.encode(examples, known).orderBy("id").collect()
+        assert not asked
+        parted = encoding.encode(examples, known, max_carried_bytes=2 * 13)
+        assert parted.orderBy("id").collect() == expected
+        lost = sorted(r["token"] for r in asked.pop().collect())
+        assert lost == ["once", "once", "rare", "rare", "seldom", "seldom", "x", "ü"]
+
+
 def test_classifiers_learn_and_score(spark):
     good, bad = ("lovely spotless interior", "Cleanliness"), ("tyre exploded badly", "Vehicle Condition")
     rows = [

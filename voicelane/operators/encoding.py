@@ -5,19 +5,23 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voicelane import fixed_values as V
+from voicelane.functions.matching import bound
 from voicelane.session import shared_folder
 
 # Ids after the reserved ones stand for single bytes, which spell what is not in the vocabulary.
 FIRST_BYTE_ID = V.UNKNOWN_ID + 1
 FIRST_TOKEN_ID = FIRST_BYTE_ID + 256
-# Largest vocabulary that travels with tasks; a larger one is joined.
+# Most bytes of the vocabulary that travel with tasks: its first tokens; the others are joined.
 MAX_CARRIED_BYTES = 64 << 20
+# Steps of ids by which the part that travels is measured.
+STEPS = 4_096
 
 
 def tokens(text: Column) -> Column:
@@ -64,7 +68,7 @@ def vocabulary(corpus: DataFrame, columns: Sequence[str], size: int | None = Non
     starts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     starts = starts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     place = F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(starts, "_range").select(
+    return rows.join(F.broadcast(starts), "_range").select(
         "token", "n", (place + FIRST_TOKEN_ID).cast("bigint").alias("id")
     )
 
@@ -89,18 +93,21 @@ def encode(
     Sequences end with the end id and are cut to their limits; padding ids in labels become the
     ignored id. A token outside the vocabulary is spelled by the ids of its bytes, so nothing is lost.
     A vocabulary that is small enough travels with the tasks and ids are looked up by Arrow batch,
-    without a shuffle; a larger one is joined to the tokens. Both give the same ids.
+    without a shuffle. Of a larger one its most frequent tokens (lowest ids) travel, as many as fit, and
+    only the occurrences of all others are joined. All give the same ids.
     """
-    cells = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 12), F.lit(0))).first()[0]
     limits = {"input": max_input - 1, "output": max_label - 1}
     kept = [c for c in examples.columns if c not in limits]
-    if cells <= max_carried_bytes:
-        ids_of = _carried(vocab)
-        found = examples.select(
-            *kept, *[ids_of(first_tokens(F.col(c), n)).alias(f"_{c}") for c, n in limits.items()]
-        )
+    frequent, rest = _divided(vocab, max_carried_bytes)
+    ids_of = _carried(frequent, rest is None)
+    lists = [ids_of(first_tokens(F.col(c), n)).alias(f"_{c}") for c, n in limits.items()]
+    if rest is None:
+        found = examples.select(*kept, *lists)
     else:
-        found = _joined(examples, vocab, kept, limits)
+        # Ids depend on the two texts only: their digest tells rows apart, without a written row number.
+        text = [F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")), 256) for c in limits]
+        key = F.substring(F.unhex(F.sha2(F.concat(*text), 256)), 1, 16)
+        found = _joined(examples.select(*kept, key.alias("_key"), *lists), rest, kept, limits)
     end = F.lit(V.END_ID)
 
     def sequence(name: str) -> Column:
@@ -118,7 +125,28 @@ def encode(
     )
 
 
-def _carried(vocab: DataFrame):
+def _divided(vocab: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """The tokens of lowest ids that fit into ``most_bytes``, by steps of ids, and the others, if any."""
+    size = F.sum(F.octet_length("token") + 12)
+    total, low, high = vocab.agg(F.coalesce(size, F.lit(0)), F.min("id"), F.max("id")).first()
+    if total <= most_bytes:
+        return vocab, None
+    if low is None:
+        return vocab, vocab
+    width = (high - low) // STEPS + 1
+    step = F.floor((F.col("id") - low) / width).alias("step")
+    cut = low
+    for number, held in sorted(vocab.groupBy(step).agg(size).collect()):
+        most_bytes -= held
+        if most_bytes < 0:
+            break
+        cut = low + (number + 1) * width
+    return vocab.filter(F.col("id") < cut), vocab.filter(F.col("id") >= cut)
+
+
+def _carried(vocab: DataFrame, whole: bool):
+    """Ids of token lists by Arrow batch. With the ``whole`` vocabulary unknown tokens are spelled;
+    else the result is a struct of ``ids``, null for tokens not found, and ``missing`` tokens by position."""
     table = vocab.select("token", F.col("id").cast("int").alias("id")).toArrow().combine_chunks()
     words, numbers = (table[c].combine_chunks() for c in ("token", "id"))
     first_byte = FIRST_BYTE_ID
@@ -127,6 +155,18 @@ def _carried(vocab: DataFrame):
         flat = lists.flatten()
         found = pc.take(numbers, pc.index_in(flat, value_set=words))
         offsets = pc.subtract(lists.offsets, lists.offsets[0])
+        if not whole:
+            starts = offsets.to_numpy(zero_copy_only=False)
+            lost = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            row = np.searchsorted(starts, lost, side="right") - 1
+            missing = pa.StructArray.from_arrays(
+                [pa.array((lost - starts[row]).astype(np.int32)), flat.take(pa.array(lost))], ["pos", "token"]
+            )
+            until = pa.array(np.searchsorted(lost, starts).astype(np.int32))
+            return pa.StructArray.from_arrays(
+                [pa.ListArray.from_arrays(offsets, found), pa.ListArray.from_arrays(until, missing)],
+                ["ids", "missing"],
+            )
         if not found.null_count:
             return pa.ListArray.from_arrays(offsets, found)
         # Few tokens are unknown: only their lists grow.
@@ -138,39 +178,45 @@ def _carried(vocab: DataFrame):
         rows = [[i for part in spelled[a:b] for i in part] for a, b in zip(at, at[1:], strict=False)]
         return pa.array(rows, pa.list_(pa.int32()))
 
-    return F.arrow_udf(look_up, "array<int>")
+    partly = "struct<ids: array<int>, missing: array<struct<pos: int, token: string>>>"
+    return F.arrow_udf(look_up, "array<int>" if whole else partly)
 
 
-def _joined(examples: DataFrame, vocab: DataFrame, kept: Sequence[str], limits: dict[str, int]) -> DataFrame:
-    """Ids by a join on the token. Every example has a bounded number of tokens, which meet again by
-    the example's number; the numbered examples are written to the shared folder first."""
-    spark = examples.sparkSession
-    path = f"{shared_folder(spark)}/examples-{uuid.uuid4().hex}"
-    lists = [first_tokens(F.col(c), n).alias(f"_{c}") for c, n in limits.items()]
-    examples.select(*kept, *lists).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(f"_{c}").alias("list")) for c in limits]))
-    asked = rows.select("_row", sides.alias("_s")).select(
-        "_row", "_s.side", F.posexplode("_s.list").alias("pos", "token")
-    )
+def _asked(rows: DataFrame, sides: Sequence[str]) -> DataFrame:
+    """The tokens that tasks did not find, one row per occurrence: ``_key, side, pos, token``."""
+
+    def lost(c: str) -> Column:
+        of_side = F.lit(c).alias("side")
+        return F.transform(
+            F.col(f"_{c}.missing"), lambda m: F.struct(of_side, m["pos"].alias("pos"), m["token"].alias("token"))
+        )
+
+    return rows.select("_key", F.inline(F.concat(*map(lost, sides))))
+
+
+def _joined(rows: DataFrame, rest: DataFrame, kept: Sequence[str], limits: dict[str, int]) -> DataFrame:
+    """Ids of the tokens that tasks did not find by a join on the token; they meet the others by key.
+    Of texts that come repeatedly the missing ids are kept once."""
     digits = F.hex("token")
     spelled = F.transform(
         F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")),
         lambda i: F.conv(F.substring(digits, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + FIRST_BYTE_ID,
     )
     ids = F.when(F.col("id").isNotNull(), F.array(F.col("id").cast("int"))).otherwise(spelled)
-    met = asked.join(vocab.select("token", "id"), "token", "left").select("_row", "side", "pos", ids.alias("ids"))
-    met = met.groupBy("_row").agg(
-        *[
-            F.flatten(
-                F.transform(
-                    F.array_sort(F.collect_list(F.when(F.col("side") == c, F.struct("pos", "ids")))), lambda p: p["ids"]
-                )
-            ).alias(f"_ids_{c}")
-            for c in limits
-        ]
-    )
-    none = F.array().cast("array<int>")
-    return rows.join(met, "_row", "left").select(
-        *kept, *[F.coalesce(f"_ids_{c}", none).alias(f"_{c}") for c in limits]
-    )
+    known = rest.groupBy("token").agg(F.min("id").alias("id"))
+    met = _asked(rows, list(limits)).join(known, "token", "left")
+    met = met.groupBy("_key").agg(F.collect_set(F.struct("side", "pos", ids.alias("ids"))).alias("_met"))
+    none = F.array().cast("array<struct<side:string,pos:int,ids:array<int>>>")
+
+    def whole(c: str) -> Column:
+        answers = F.filter(F.coalesce("_met", none), lambda a: a["side"] == c)
+        by_place = F.map_from_entries(F.transform(answers, lambda a: F.struct(a["pos"], a["ids"])))
+        placed = bound(
+            by_place,
+            lambda m: F.flatten(
+                F.transform(F.col(f"_{c}.ids"), lambda i, at: F.when(i.isNull(), m[at]).otherwise(F.array(i)))
+            ),
+        )
+        return F.when(F.size(F.col(f"_{c}.missing")) == 0, F.col(f"_{c}.ids")).otherwise(placed)
+
+    return rows.join(met, "_key", "left").select(*kept, *[whole(c).alias(f"_{c}") for c in limits])
