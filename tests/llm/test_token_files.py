@@ -91,6 +91,37 @@ def test_pieces_of_white_space_text_encode_alone():
         assert np.frombuffer(packed, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_pieces_go_to_the_tokenizer_together():
+    """Few texts for many new pieces, with the ids that the library gives for each whole text."""
+    codec, tokenizer, asked = token_files.WordCodec(WORDS), Tokenizer.from_file(WORDS), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **how)
+
+    codec.tokenizer = Counted()
+    texts = [" ".join(f"w{i * j}x'{j}" for j in range(200)) for i in range(1, 6)]
+    mark = token_files.MARK
+    texts += [f"a{mark}b {mark} c", mark, f"{mark}{mark} \u0301x", "", "<|endoftext|> \u0301 'S ΑΣ", "\u2003 \u0338"]
+    pieces = {p for t in texts for p in t.split(" ")}
+    for one_by_one in (False, True):
+        if one_by_one:
+            codec.mark, codec.now, codec.before = None, {}, {}
+        asked.clear()
+        for text, packed in zip(texts, codec.encode(texts, None), strict=True):
+            assert np.frombuffer(packed, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(asked) == len(pieces) if one_by_one else len(asked) < len(pieces) / 8
+
+
+def test_held_pieces_pass_to_the_next_generation(monkeypatch):
+    monkeypatch.setattr(token_files, "HELD", 3)
+    codec, tokenizer = token_files.WordCodec(WORDS), Tokenizer.from_file(WORDS)
+    for text in ["a b c d", "d e", "a f g h i", "a d", "b"]:
+        (packed,) = codec.encode([text], 1)
+        assert np.frombuffer(packed, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_query_on_all_documents(spark):
     from voicelane.llm import catalog
 

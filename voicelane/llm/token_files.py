@@ -36,6 +36,8 @@ MAGIC, FOOTER = b"VLPLANE1", "<8Q8s"  # struct format
 BLOCK_IDS, LEVEL = 1 << 16, 3
 #: Pieces of text whose ids are held per worker process: a bound on memory, not on what is encoded.
 HELD = 500_000
+#: What stands between pieces that are encoded as one text, and how many are.
+MARK, MARKED = "\x01", 32
 #: Bytes of ids in a batch that a reader hands on.
 BATCH_BYTES = 4 << 20
 
@@ -53,19 +55,42 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        # A mark between pieces that gives one id by itself lets many be encoded as one text.
+        mark = self._ids([MARK, f"a {MARK} b", "a", "b"])
+        self.mark = int(mark[0][0]) if len(mark[0]) == 1 and mark[1].tolist() == [*mark[2], *mark[0], *mark[3]] else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _made(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces with their ids, each as it is encoded by itself. Pieces that hold the mark go alone."""
+        plain = [p for p in pieces if MARK not in p] if self.mark is not None else []
+        alone = [p for p in pieces if MARK in p] if self.mark is not None else pieces
+        groups = [plain[k : k + MARKED] for k in range(0, len(plain), MARKED)]
+        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            if len(ends) != len(group) - 1:
+                alone = alone + group
+                continue
+            packed, start = ids.tobytes(), 0
+            for piece, end in zip(group, [*ends, len(ids)], strict=True):
+                yield piece, packed[4 * start : 4 * end]
+                start = end + 1
+        for piece, ids in zip(alone, self._ids(alone), strict=True):
+            yield piece, ids.tobytes()
 
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*cut) if cut else set()
-        known = {p: b for p in wanted if (b := self.now.get(p) or self.before.get(p)) is not None}
-        new = sorted(wanted - known.keys())
-        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known |= {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, made, strict=True)}
         if len(self.now) > HELD:
             self.now, self.before = {}, self.now
-        self.now |= known
+        now, before = self.now, self.before
+        new = set().union(*cut).difference(now)
+        if before:
+            now.update((p, b) for p in new if (b := before.get(p)) is not None)
+            new = new.difference(now)
+        now.update(self._made(list(new)))
         tail = b"" if end is None else struct.pack("<I", end)
-        return [b"".join(map(known.__getitem__, pieces)) + tail for pieces in cut]
+        return [b"".join(map(now.__getitem__, pieces)) + tail for pieces in cut]
 
 
 def word_codec(path: str) -> WordCodec:
